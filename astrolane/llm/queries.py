@@ -39,6 +39,14 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import score_texts
+    from .toxicity import held_out
+
+    scored = score_texts(table(spark, sf_dir, "documents"), ~held_out(parts=5))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
