@@ -47,6 +47,12 @@ def op10_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .webp import digests, read_media, store_texts
+
+    return digests(read_media(store_texts(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
