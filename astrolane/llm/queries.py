@@ -53,6 +53,21 @@ def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_media(store_texts(table(spark, sf_dir, "documents"))))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive, read_archives
+
+    read = read_archives(archive(table(spark, sf_dir, "pages")))
+    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .spm import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
