@@ -9,7 +9,8 @@
 4. Blocks that still hold several components are joined by an R-tree over count vectors: shingles are hashed into
    groups, a class is the point of its group counts, and the summed coordinate minima of two points (or of the upper
    corners of two tree nodes) bound the overlap of any sets below.  Pairs that the bound cannot rule out and that
-   are not yet connected are verified on the sets.
+   are not yet connected are verified on the sets: first the best rated pair of each class with each other
+   component, which joins most components that belong together, then all that are left.
 Blocks beyond a fixed size are cut into chunks that meet two at a time, so no task holds an unbounded block.
 """
 
@@ -28,6 +29,7 @@ WORDS = 5
 PERCENT = 80
 BANDS = 28
 CHUNK = 2048
+ROUNDS = (1, None)
 LEAF = 32
 MAX_CACHED = 300_000
 
@@ -118,16 +120,34 @@ def keys_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, signature binary, keys array<long>")
 
 
-def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """(id, text) -> id, n, points (count vector) and shingles, both as packed bytes."""
+def id_bitmap(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
+    """One hashed bit per id, in a bitmap of bounded size (16 MB): a filter that lets every given id through.
+
+    It is sized for the number of ids; beyond the bound it lets more of the others through, and no id is lost.
+    """
+    n = ids.count()
+    size = min(most_bits, max(1 << 13, 1 << (32 * n).bit_length()))
+    words = ids.selectExpr(f"pmod(xxhash64(id), {size}L) AS bit").selectExpr("bit DIV 64 AS word", "shiftleft(1L, CAST(bit % 64 AS INT)) AS one").groupBy("word").agg(F.bit_or("one").alias("bits"))
+    table = words.toPandas()
+    out = np.zeros(size // 64, np.int64)
+    out[table["word"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64)
+    return out
+
+
+def sets_of(docs: DataFrame, bitmap: np.ndarray, words: int) -> DataFrame:
+    """(id, text) -> id, n, points (count vector) and shingles, both as packed bytes, of the ids in the bitmap."""
+    bits = len(bitmap) * 64
 
     def run(batches):
         known = WordHashes()
         for batch in batches:
-            found = [shingle_set(t, known, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([count_vector(s).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "n", "points", "shingles"])
+            at = batch.column(2).to_numpy()
+            hit = ((bitmap[at >> 6] >> (at & 63)) & 1).astype(bool)
+            part = batch.filter(pa.array(hit))
+            found = [shingle_set(t, known, words) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([count_vector(s).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "n", "points", "shingles"])
 
-    return docs.mapInArrow(run, "id long, n long, points binary, shingles binary")
+    return docs.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("bit")).mapInArrow(run, "id long, n long, points binary, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -198,59 +218,79 @@ class CountTree:
             i, j = np.nonzero(open_)
             bound = np.minimum(self.points[a][i], other.points[b][j]).sum(axis=1, dtype=np.int64)
             ok = bound * (100 + percent) >= percent * total[i, j]
-            for x, y in zip((i[ok] + ia * LEAF).tolist(), (j[ok] + ib * LEAF).tolist(), strict=True):
-                yield x, y
+            if ok.any():
+                i, j = i[ok], j[ok]
+                yield i + ia * LEAF, j + ib * LEAF, bound[ok] / total[i, j]
 
 
-def tree_pairs(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+def best_of(ids, parts, first, second, rating, most: int | None):
+    """Of all candidate pairs (positions), the `most` best rated of every row with every other component."""
+    if most is None or len(first) <= most:
+        return first, second
+    keep = np.zeros(len(first), bool)
+    for mine, theirs in ((first, second), (second, first)):
+        order = np.lexsort((ids[theirs], -rating, parts[theirs], mine))
+        new = np.concatenate([[True], (np.diff(mine[order]) != 0) | (np.diff(parts[theirs][order]) != 0)])
+        start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        keep[order[np.arange(len(order)) - start < most]] = True
+    return first[keep], second[keep]
+
+
+def tree_pairs(rows: list[tuple], percent: int, most: int | None = None) -> list[tuple[int, int]]:
     """rows (id, component, n, vector, side) -> candidate pairs; of two sides, only pairs across them."""
-    by_bits: dict[tuple[int, int], list] = {}
-    for row in rows:
-        by_bits.setdefault((len(row[3]).bit_length() - 1, row[4]), []).append(row)
+    ids, parts, sizes = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+    by_bits: dict[tuple[int, int], list[int]] = {}
+    for i, row in enumerate(rows):
+        by_bits.setdefault((len(row[3]).bit_length() - 1, row[4]), []).append(i)
     sides = sorted({r[4] for r in rows})
-    out = []
+    found: list[tuple] = []
 
-    def tree(part: list, groups: int):
-        part.sort(key=lambda r: (r[1], r[2], r[0]))
-        points = np.stack([r[3] if len(r[3]) == groups else folded(r[3], groups) for r in part])
-        wide = np.where(points == 65535, np.int64(1) << 40, points.astype(np.int64)) if points.max(initial=0) == 65535 else points
-        return CountTree(wide, np.array([r[2] for r in part], np.int64), np.array([r[1] for r in part], np.int64))
+    def tree(part: list[int], groups: int):
+        at = np.array(part)
+        at = at[np.lexsort((ids[at], sizes[at], parts[at]))]
+        points = np.stack([rows[i][3] if len(rows[i][3]) == groups else folded(rows[i][3], groups) for i in at])
+        if points.max(initial=0) == 65535:  # full counters bound nothing
+            points = np.where(points == 65535, np.int64(1) << 40, points.astype(np.int64))
+        return at, CountTree(points, sizes[at], parts[at])
 
-    bits = sorted({b for b, _ in by_bits})
-    for k in bits:
+    for k, s in sorted(by_bits):
         for m in (k, k + 1):
-            for s in sides:
-                for t in sides:
-                    if (len(sides) > 1 and s == t) or (m == k and s > t):
-                        continue
-                    left, right = by_bits.get((k, s)), by_bits.get((m, t))
-                    if not left or not right:
-                        continue
-                    a = tree(left, 1 << k)
-                    b = a if left is right else tree(right, 1 << k)
-                    for i, j in a.join(b, percent):
-                        x, y = left[i][0], right[j][0]
-                        if left is not right or i < j:
-                            out.append((min(x, y), max(x, y)))
-    return sorted(set(out))
-
-
-def block_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+            for t in sides:
+                if (len(sides) > 1 and s == t) or (m == k and s > t) or (m, t) not in by_bits:
+                    continue
+                at_a, a = tree(by_bits[k, s], 1 << k)
+                same = (k, s) == (m, t)
+                at_b, b = (at_a, a) if same else tree(by_bits[m, t], 1 << k)
+                for i, j, rating in a.join(b, percent):
+                    if same:
+                        half = i < j
+                        i, j, rating = i[half], j[half], rating[half]
+                    found.append((at_a[i], at_b[j], rating))
+    if not found:
+        return []
+    first, second = best_of(ids, parts, *(np.concatenate(x) for x in zip(*found, strict=True)), most)
+    x, y = np.minimum(ids[first], ids[second]), np.maximum(ids[first], ids[second])
+    return list(set(zip(x.tolist(), y.tolist(), strict=True)))
+
+
+def block_pairs(rows: DataFrame, percent: int = PERCENT, most: int | None = None) -> DataFrame:
     """rows (block, task, side, id, component, n, points) -> distinct pairs (a, b) that the trees leave."""
 
+    def as_batch(found):
+        return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+
     def run(batches):
         held, key = [], None
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(7)]
-            found = []
+            found: set = set()
             for block, task, side, id_, component, n, points in zip(*columns, strict=True):
                 if (block, task) != key:
-                    found += tree_pairs(held, percent) if len(held) > 1 else []
+                    found.update(tree_pairs(held, percent, most) if len(held) > 1 else ())
                     held, key = [], (block, task)
                 held.append((id_, component, n, np.frombuffer(points, np.uint16), side))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
-        found = tree_pairs(held, percent) if len(held) > 1 else []
-        yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+            yield as_batch(found)
+        yield as_batch(tree_pairs(held, percent, most) if len(held) > 1 else ())
 
     return rows.repartition(partitions(rows.sparkSession), "block", "task").sortWithinPartitions("block", "task").mapInArrow(run, "a long, b long").distinct()
 
@@ -285,17 +325,24 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     discard(postings)
     stars = staged(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     wanted = stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct()
-    sets = staged(sets_of(ids.join(wanted, "id").select("id", text_or_empty("text").alias("text")), words).dropDuplicates(["id"]), "sets")
-    links = staged(verified(stars, sets, percent), "star-links")
-    parts = connected_components(links)
-    placed = shared.select("block", "id", "m").join(parts.toDF("id", "component"), "id", "left").select("block", "id", "m", F.coalesce("component", "id").alias("component"))
-    placed = staged(placed, "placed")
-    mixed = staged(placed.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("block", "m"), "mixed-blocks")
-    rows = placed.select("block", "id", "component").join(mixed.select("block"), "block", "left_semi").join(sets.select("id", "n", "points"), "id")
-    pairs = staged(block_pairs(chunked(rows, mixed, chunk), percent).join(stars, ["a", "b"], "left_anti"), "tree-pairs")
-    more = verified(pairs, sets, percent)
-    final = connected_components(links.union(more))
-    by_class = staged(classes.join(final.toDF("id", "component"), "id", "left").select("signature", F.coalesce("component", "id").alias("component_id")), "class-components")
-    discard(shared, placed, mixed, pairs, sets, stars, links, parts)
+    sets = staged(sets_of(ids.select("id", text_or_empty("text").alias("text")), id_bitmap(wanted), words), "sets")
+    links = staged(verified(stars, sets, percent), "links")
+    tested, parts = stars, connected_components(links)
+    spent = [shared, sets, stars, links]
+    for most in ROUNDS:
+        placed = staged(shared.select("block", "id").join(parts.toDF("id", "component"), "id", "left").select("block", "id", F.coalesce("component", "id").alias("component")), "placed")
+        mixed = staged(placed.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("block", "m"), "mixed-blocks")
+        rows = placed.join(mixed.select("block"), "block", "left_semi").join(sets.select("id", "n", "points"), "id")
+        pairs = staged(block_pairs(chunked(rows, mixed, chunk), percent, most).join(tested, ["a", "b"], "left_anti"), "tree-pairs")
+        more = staged(verified(pairs, sets, percent), "links")
+        tested = tested.union(pairs)
+        discard(placed, mixed)
+        spent += [pairs, more]
+        if not more.isEmpty():
+            links = links.union(more)
+            spent.append(parts)
+            parts = connected_components(links)
+    by_class = staged(classes.join(parts.toDF("id", "component"), "id", "left").select("signature", F.coalesce("component", "id").alias("component_id")), "class-components")
+    discard(*spent, parts)
     out = keys.select("id", "n_shingles", "signature").join(by_class, "signature", "left")
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
