@@ -16,15 +16,13 @@ asks once however often it holds it), and nothing of the corpus but a dozen tota
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, staged, text_or_empty
+from .common import discard, partitions, release, staged, text_or_empty
 from .jaccard import WordHashes
 
 BATCH_TOKENS = 1_500_000
@@ -310,12 +308,6 @@ def finished(partial: DataFrame, alphas: DataFrame, id_col: str) -> DataFrame:
     return light.groupBy("batch").cogroup(alphas.groupBy("batch")).applyInArrow(run, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of finished steps."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
 def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """Learn from the rows where the boolean column `train` holds, score all rows.
 
@@ -328,15 +320,15 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     size = batches.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     parts = max(partitions(spark), int(size) // PART_KEYS + 1)
     words = staged(counted(ask(batches, 1, parts)), "word-counts")
-    release(docs)
+    release(spark)
     pairs = staged(counted(ask(batches, 2, parts)), "pair-counts")
-    release(docs)
+    release(spark)
     n_train, vocabulary, *_ = totals_of(words)
     d = discounts(totals_of(pairs)[2:])
     both = words.withColumn("level", F.lit(1)).union(pairs.withColumn("level", F.lit(2))).where("batch is not null").select("batch", "part", "level", "n", "counts", "owner")
     partial = staged(evaluated(batches, both, d, (n_train, vocabulary)), "partial-scores")
     discard(batches, words, pairs)
-    release(docs)
+    release(spark)
     alphas = staged(backoff_weights(ask_backoff(partial, parts)), "backoff-weights")
-    release(docs)
+    release(spark)
     return finished(partial, alphas, id_col).withColumn("train_tokens", F.lit(n_train).cast("long"))
