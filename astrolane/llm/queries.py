@@ -74,6 +74,12 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_token_id_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .coder import read_ids, write_ids
+
+    return read_ids(write_ids(table(spark, sf_dir, "documents"), tokenizer_path())).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
