@@ -1,21 +1,50 @@
-"""The corpus pipeline: toxicity, quality classifier, n-gram Jaccard join, best-fit packing."""
+"""The corpus pipeline: toxicity, quality classifier, n-gram Jaccard join, best-fit packing.
+
+Every stage but the last returns the columns of documents for the rows that it keeps.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from astrolane.llm import common, packing
+from astrolane.llm import common, jaccard, packing, resample, toxicity
 from astrolane.llm.queries import tokenizer_path
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold of op6, fitted on these documents' labelled rows."""
+    scored = toxicity.classify(docs, common.table(spark, sf_dir, "labels"), keep=COLUMNS)
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
+
+
+def draw_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling draws."""
+    drawn = resample.resample(docs, common.table(spark, sf_dir, "labels"), keep=COLUMNS)
+    return drawn.select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shingle links join: the one with the smallest id, once.
+
+    Documents without words link with nothing and stay; so do documents without an id.
+    """
+    parts = jaccard.similar_documents(docs)
+    first = common.staged(parts.where("doc_id = component_id").select("doc_id").distinct(), "first-of-group")
+    kept = docs.select(*COLUMNS).join(first, "doc_id").dropDuplicates(["doc_id"])
+    return kept.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all remaining documents with their places in 2048-token sequences."""
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
+STAGES = [("toxicity", drop_toxic), ("quality classifier", draw_quality), ("n-gram Jaccard join", drop_near_copies), ("best-fit packing", best_fit_packing)]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # the classifiers cannot be expressed in SQL; tests/llm compares with a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
