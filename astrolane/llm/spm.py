@@ -9,12 +9,15 @@ original library at the same time.  Models without this property encode whole te
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
 from array import array
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,8 @@ from .common import text_or_empty
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MAX_CACHED = 250_000
+MAX_CACHED = 600_000
+THREADS = 2
 AUDIT = 64
 
 
@@ -142,6 +146,7 @@ def by_words(model: Model) -> bool:
 
 class Codec:
     def __init__(self, path: str):
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # as many as a task may use, before the pool starts
         import sentencepiece
 
         with open(path, "rb") as f:
@@ -168,15 +173,17 @@ class Codec:
     def learn(self, words: list[str]) -> None:
         """Encode new words in one batch and compare each with the original library."""
         ids = [e.ids for e in self.core.encode_batch(words, add_special_tokens=False)]
-        starts = self.model.dummy_prefix
-        checkable = [w[1:].replace(MARK, " ") if starts and w[0] == MARK else None for w in words]
-        theirs = iter(self.original.encode([c for c in checkable if c]) if any(checkable) else [])
-        for word, mine, check in zip(words, ids, checkable, strict=True):
-            self.index[word] = len(self.begin)
-            self.begin.append(len(self.pool))
-            self.size.append(len(mine))
-            self.pool.extend(mine)
-            self.equal.append(next(theirs) == mine if check else 1)
+        at, used = len(self.begin), len(self.pool)
+        self.index.update(zip(words, range(at, at + len(words)), strict=True))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.size.frombytes(sizes.tobytes())
+        self.begin.frombytes((used + np.cumsum(sizes) - sizes).tobytes())
+        self.pool.extend(chain.from_iterable(ids))
+        if self.model.dummy_prefix:  # the original library puts the first marker back itself
+            theirs = self.original.encode([w[1:].replace(MARK, " ") for w in words])
+            self.equal.extend(map(eq, ids, theirs))
+        else:
+            self.equal.extend(map(eq, ids, self.original.encode([w.replace(MARK, " ") for w in words])))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids one after another, their number per text, and whether each text's words agree with the original."""
@@ -192,7 +199,7 @@ class Codec:
             self.reset()
             new = list(set(flat))
         if new:
-            self.learn(sorted(new))
+            self.learn(new)
         at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
         size, begin = np.frombuffer(self.size, np.int64), np.frombuffer(self.begin, np.int64)
         lengths = size[at] if len(at) else np.zeros(0, np.int64)
