@@ -135,7 +135,7 @@ def id_bitmap(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, bitmap: np.ndarray, words: int) -> DataFrame:
-    """(id, text) -> id, n, points (count vector) and shingles, both as packed bytes, of the ids in the bitmap."""
+    """(id, text) -> id, n, points (count vector), keys and shingles, as packed bytes, of the ids in the bitmap."""
     bits = len(bitmap) * 64
 
     def run(batches):
@@ -145,9 +145,9 @@ def sets_of(docs: DataFrame, bitmap: np.ndarray, words: int) -> DataFrame:
             hit = ((bitmap[at >> 6] >> (at & 63)) & 1).astype(bool)
             part = batch.filter(pa.array(hit))
             found = [shingle_set(t, known, words) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([count_vector(s).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "n", "points", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([count_vector(s).tobytes() for s in found], pa.binary()), pa.array([band_keys(s).tobytes() if len(s) else b"" for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "n", "points", "keys", "shingles"])
 
-    return docs.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("bit")).mapInArrow(run, "id long, n long, points binary, shingles binary")
+    return docs.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("bit")).mapInArrow(run, "id long, n long, points binary, keys binary, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -236,8 +236,11 @@ def best_of(ids, parts, first, second, rating, most: int | None):
     return first[keep], second[keep]
 
 
-def tree_pairs(rows: list[tuple], percent: int, most: int | None = None) -> list[tuple[int, int]]:
-    """rows (id, component, n, vector, side) -> candidate pairs; of two sides, only pairs across them."""
+def tree_pairs(block: int, rows: list[tuple], percent: int, most: int | None = None) -> list[tuple[int, int]]:
+    """rows (id, component, n, vector, side, keys) -> candidate pairs; of two sides, only pairs across them.
+
+    A pair that meets in several blocks belongs to that of its first common key and is left out elsewhere.
+    """
     ids, parts, sizes = (np.array([r[i] for r in rows], np.int64) for i in range(3))
     by_bits: dict[tuple[int, int], list[int]] = {}
     for i, row in enumerate(rows):
@@ -268,13 +271,17 @@ def tree_pairs(rows: list[tuple], percent: int, most: int | None = None) -> list
                     found.append((at_a[i], at_b[j], rating))
     if not found:
         return []
-    first, second = best_of(ids, parts, *(np.concatenate(x) for x in zip(*found, strict=True)), most)
+    first, second, rating = (np.concatenate(x) for x in zip(*found, strict=True))
+    keys = np.stack([r[5] for r in rows])
+    band = int(np.flatnonzero(keys[0] == block)[0])
+    mine = ~(keys[first, :band] == keys[second, :band]).any(axis=1)
+    first, second = best_of(ids, parts, first[mine], second[mine], rating[mine], most)
     x, y = np.minimum(ids[first], ids[second]), np.maximum(ids[first], ids[second])
     return list(set(zip(x.tolist(), y.tolist(), strict=True)))
 
 
 def block_pairs(rows: DataFrame, percent: int = PERCENT, most: int | None = None) -> DataFrame:
-    """rows (block, task, side, id, component, n, points) -> distinct pairs (a, b) that the trees leave."""
+    """rows (block, task, side, id, component, n, points, keys) -> distinct pairs (a, b) that the trees leave."""
 
     def as_batch(found):
         return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
@@ -282,15 +289,15 @@ def block_pairs(rows: DataFrame, percent: int = PERCENT, most: int | None = None
     def run(batches):
         held, key = [], None
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(7)]
+            columns = [batch.column(i).to_pylist() for i in range(8)]
             found: set = set()
-            for block, task, side, id_, component, n, points in zip(*columns, strict=True):
+            for block, task, side, id_, component, n, points, keys in zip(*columns, strict=True):
                 if (block, task) != key:
-                    found.update(tree_pairs(held, percent, most) if len(held) > 1 else ())
+                    found.update(tree_pairs(key[0], held, percent, most) if len(held) > 1 else ())
                     held, key = [], (block, task)
-                held.append((id_, component, n, np.frombuffer(points, np.uint16), side))
+                held.append((id_, component, n, np.frombuffer(points, np.uint16), side, np.frombuffer(keys, np.int64)))
             yield as_batch(found)
-        yield as_batch(tree_pairs(held, percent, most) if len(held) > 1 else ())
+        yield as_batch(tree_pairs(key[0], held, percent, most) if len(held) > 1 else ())
 
     return rows.repartition(partitions(rows.sparkSession), "block", "task").sortWithinPartitions("block", "task").mapInArrow(run, "a long, b long").distinct()
 
@@ -305,7 +312,7 @@ def chunked(rows: DataFrame, sizes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     exploded = placed.withColumn("task", F.explode(tasks))
     low = F.floor(F.col("task") / F.col("chunks"))
     side = F.when((F.col("chunks") > 1) & (low != F.col("task") % F.col("chunks")) & (F.col("mine") != low), 1).otherwise(0).cast("int")
-    return exploded.select("block", F.col("task").cast("long").alias("task"), side.alias("side"), "id", "component", "n", "points")
+    return exploded.select("block", F.col("task").cast("long").alias("task"), side.alias("side"), "id", "component", "n", "points", "keys")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
@@ -332,7 +339,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     for most in ROUNDS:
         placed = staged(shared.select("block", "id").join(parts.toDF("id", "component"), "id", "left").select("block", "id", F.coalesce("component", "id").alias("component")), "placed")
         mixed = staged(placed.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("block", "m"), "mixed-blocks")
-        rows = placed.join(mixed.select("block"), "block", "left_semi").join(sets.select("id", "n", "points"), "id")
+        rows = placed.join(mixed.select("block"), "block", "left_semi").join(sets.select("id", "n", "points", "keys"), "id")
         pairs = staged(block_pairs(chunked(rows, mixed, chunk), percent, most).join(tested, ["a", "b"], "left_anti"), "tree-pairs")
         more = staged(verified(pairs, sets, percent), "links")
         tested = tested.union(pairs)
