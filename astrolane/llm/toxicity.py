@@ -128,7 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     chosen = counts.where((m >= 4) & (m < n)).orderBy(chi.desc(), "bucket").limit(features).select("bucket").collect()
     buckets = np.array(sorted(r["bucket"] for r in chosen), np.int64)
     keep = F.array(*[F.lit(int(b)) for b in buckets]) if len(buckets) else F.array().cast("array<int>")
-    rows = hashed.select("label", F.array_sort(F.array_intersect("buckets", keep)).alias("hit")).orderBy("hit", "label").collect()
+    # at most max_rows short lists; put in order here, so that the fit does not depend on the order of tasks
+    rows = sorted(hashed.select("label", F.array_sort(F.array_intersect("buckets", keep)).alias("hit")).collect(), key=lambda r: (r["hit"], r["label"]))
     discard(hashed)
     hits = [np.searchsorted(buckets, np.array(r["hit"], np.int64)) for r in rows]
     bias, linear, factors = fit_weights(hits, np.array([r["label"] for r in rows]), len(buckets))
