@@ -181,6 +181,8 @@ class Codec:
         self.pool.extend(chain.from_iterable(ids))
         if self.model.dummy_prefix:  # the original library puts the first marker back itself
             theirs = self.original.encode([w[1:].replace(MARK, " ") for w in words])
+            if MARK in self.index and at <= self.index[MARK]:  # the marker alone cannot be asked for as a text
+                theirs[self.index[MARK] - at] = [self.original.piece_to_id(MARK)]
             self.equal.extend(map(eq, ids, theirs))
         else:
             self.equal.extend(map(eq, ids, self.original.encode([w.replace(MARK, " ") for w in words])))
