@@ -25,6 +25,7 @@ BUCKETS = 1 << 22
 MAX_LABELLED = 20_000
 FEATURES = 384
 PREFIX = 5
+LEAST_CHI = 25.0  # a term that is chance reaches it once in millions
 MAX_CACHED = 300_000
 
 
@@ -102,7 +103,8 @@ def labelled_sample(labels: DataFrame, label_col: str, id_col: str = "doc_id", m
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_LABELLED, features: int = FEATURES) -> FactorizationMachine:
     """Fit on the texts of at most max_rows labelled ids.
 
-    Features are the `features` term buckets with the largest chi-square against the label, a bounded list.
+    Features are the `features` term buckets with the largest chi-square against the label, a bounded list, and none
+    that chance would explain.
     Without rows of both classes the machine has no features and gives every text the base rate.
     """
     sample = labelled_sample(labels, label_col, id_col, max_rows)
@@ -124,8 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     counts = hashed.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum("label").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("m"))
     a, m = F.col("a"), F.col("m")
     gap = a * n - m * pos
-    chi = gap * gap / (m * (n - m) + F.lit(1e-9))
-    chosen = counts.where((m >= 4) & (m < n)).orderBy(chi.desc(), "bucket").limit(features).select("bucket").collect()
+    chi = gap * gap * n / (m * (n - m) * float(pos) * float(neg) + F.lit(1e-9))
+    chosen = counts.where((m >= 4) & (m < n) & (chi >= LEAST_CHI)).orderBy(chi.desc(), "bucket").limit(features).select("bucket").collect()
     buckets = np.array(sorted(r["bucket"] for r in chosen), np.int64)
     keep = F.array(*[F.lit(int(b)) for b in buckets]) if len(buckets) else F.array().cast("array<int>")
     # at most max_rows short lists; put in order here, so that the fit does not depend on the order of tasks
