@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     spent.append(left)
     if not moves:
         discard(*spent)
-        return edges.sparkSession.createDataFrame([], edges.select(F.col("a").alias("node"), F.col("a").alias("component")).schema)
+        return staged(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0), "components")
     roots = moves[0].select("node", F.col("to").alias("root"))
     for move in moves[1:]:
         step = move.toDF("root", "next")
