@@ -4,58 +4,19 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import discard, remove_path, scratch_path, shared_dir, staged
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return str(current.get()).rstrip("/")
-    own = f"file://{tempfile.mkdtemp(prefix='astrolane-')}"
-    context.setCheckpointDir(own)
-    return own
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/astrolane/{tag}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends at the files."""
-    spark = df.sparkSession
-    path = path or scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete the files of staged tables that no later plan reads."""
-    for df in frames:
-        remove_path(df.sparkSession, df._staged_path)
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps, which it does once their plans are garbage.
 
@@ -67,6 +28,9 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+__all__ = ["discard", "local_path", "open_file", "partitions", "release", "remove_path", "scratch_path", "shared_dir", "staged", "table", "text_or_empty", "write_file"]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import discard, partitions, staged, text_or_empty
-from .components import connected_components
 
 WORDS = 5
 PERCENT = 80
