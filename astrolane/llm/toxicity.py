@@ -2,8 +2,8 @@
 
 score = sigmoid(w0 + sum w_i + sum over pairs of <v_i, v_j>) over the hashed terms that a text holds.  The factor
 vectors give every pair of terms a weight of its own, so an insult next to a group's name can count for more
-than the two apart.  The machine is fitted on a bounded, documented sample of labelled rows; every other row is
-only scored, in one pass without a shuffle.
+than the two apart.  The machine is fitted on a bounded, documented sample of labelled rows, each distinct text
+once, with every term that chance does not explain; every other row is only scored, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from .common import discard, staged, text_or_empty
 TERM = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 22
 MAX_LABELLED = 20_000
-FEATURES = 384
 PREFIX = 5
 LEAST_CHI = 25.0  # a term that is chance reaches it once in millions
 MAX_CACHED = 300_000
+SCORED_AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,10 @@ class FactorizationMachine:
     factors: np.ndarray
 
     def scores(self, active: list[list[int]]) -> np.ndarray:
+        parts = [self._scores(active[at : at + SCORED_AT_ONCE]) for at in range(0, len(active), SCORED_AT_ONCE)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _scores(self, active: list[list[int]]) -> np.ndarray:
         out = np.full(len(active), self.bias)
         sizes = np.array([len(a) for a in active])
         some = np.flatnonzero(sizes)
@@ -67,9 +71,6 @@ def _buckets(text: str) -> list[int]:
 def fit_weights(rows: list[np.ndarray], toxic: np.ndarray, n_features: int, k: int = 8, epochs: int = 40, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
     """Class-balanced logistic loss with weight decay, by Adam over mini-batches.  rows: each one's feature ids."""
     rng = np.random.default_rng(seed)
-    x = np.zeros((len(rows), n_features), np.uint8)
-    for i, r in enumerate(rows):
-        x[i, r] = 1
     y = toxic.astype(np.float32)
     share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
     importance = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
@@ -80,11 +81,17 @@ def fit_weights(rows: list[np.ndarray], toxic: np.ndarray, n_features: int, k: i
         order = rng.permutation(len(y))
         for at in range(0, len(order), 256):
             pick = order[at : at + 256]
-            b = x[pick].astype(np.float32)
-            sums = b @ params[2]
-            margin = params[0] + b @ params[1] + 0.5 * ((sums**2).sum(1) - b @ (params[2] ** 2).sum(1))
+            # only the columns of features that this batch holds
+            held, place = np.unique(np.concatenate([rows[i] for i in pick]), return_inverse=True)
+            b = np.zeros((len(pick), len(held)), np.float32)
+            b[np.repeat(np.arange(len(pick)), [len(rows[i]) for i in pick]), place] = 1
+            linear, factors = params[1][held], params[2][held]
+            sums = b @ factors
+            margin = params[0] + b @ linear + 0.5 * ((sums**2).sum(1) - b @ (factors**2).sum(1))
             g = importance[pick] * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[pick]) / len(pick)
-            grads = [np.array([g.sum()]), b.T @ g + 1e-5 * params[1], b.T @ (g[:, None] * sums) - params[2] * (b.T @ g)[:, None] + 1e-4 * params[2]]
+            grads = [np.array([g.sum()]), 1e-5 * params[1], 1e-4 * params[2]]
+            grads[1][held] += b.T @ g
+            grads[2][held] += b.T @ (g[:, None] * sums) - factors * (b.T @ g)[:, None]
             step += 1
             for p, d, m, v in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (d - m)
@@ -100,11 +107,11 @@ def labelled_sample(labels: DataFrame, label_col: str, id_col: str = "doc_id", m
     return one.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_LABELLED, features: int = FEATURES) -> FactorizationMachine:
-    """Fit on the texts of at most max_rows labelled ids.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_LABELLED) -> FactorizationMachine:
+    """Fit on the distinct texts of at most max_rows labelled ids; conflicting labels of a text count as 1.
 
-    Features are the `features` term buckets with the largest chi-square against the label, a bounded list, and none
-    that chance would explain.
+    Features are all term buckets whose chi-square against the label chance would not explain, however many.  Copies
+    count once, there and in the fit, so a group of them gives its words no more weight than one text does.
     Without rows of both classes the machine has no features and gives every text the base rate.
     """
     sample = labelled_sample(labels, label_col, id_col, max_rows)
@@ -114,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_buckets(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["label", "buckets"])
 
     # Broadcast: at most max_rows pairs of numbers.
-    hashed = staged(docs.select(id_col, text_or_empty(text_col).alias("text")).join(F.broadcast(sample), id_col).select("label", "text").mapInArrow(terms, "label int, buckets array<int>"), "terms")
+    known = docs.select(id_col, text_or_empty(text_col).alias("text")).join(F.broadcast(sample), id_col)
+    hashed = staged(known.groupBy("text").agg(F.max("label").alias("label")).select("label", "text").mapInArrow(terms, "label int, buckets array<int>"), "terms")
     totals = {r["label"]: r["n"] for r in hashed.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
@@ -127,14 +135,24 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     a, m = F.col("a"), F.col("m")
     gap = a * n - m * pos
     chi = gap * gap * n / (m * (n - m) * float(pos) * float(neg) + F.lit(1e-9))
-    chosen = counts.where((m >= 4) & (m < n) & (chi >= LEAST_CHI)).orderBy(chi.desc(), "bucket").limit(features).select("bucket").collect()
-    buckets = np.array(sorted(r["bucket"] for r in chosen), np.int64)
-    keep = F.array(*[F.lit(int(b)) for b in buckets]) if len(buckets) else F.array().cast("array<int>")
-    # at most max_rows short lists; put in order here, so that the fit does not depend on the order of tasks
-    rows = sorted(hashed.select("label", F.array_sort(F.array_intersect("buckets", keep)).alias("hit")).collect(), key=lambda r: (r["hit"], r["label"]))
+    chosen = counts.where((m >= 4) & (m < n) & (chi >= LEAST_CHI)).select("bucket").toArrow()
+    buckets = np.sort(chosen.column("bucket").to_numpy().astype(np.int64))
+
+    def places(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            found = lists.flatten().to_numpy()
+            of_row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            at = np.searchsorted(buckets, found)
+            hit = np.append(buckets, -1)[at] == found
+            ends = np.cumsum(np.bincount(of_row[hit], minlength=len(lists)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(at[hit], pa.int32()))], names=["label", "hit"])
+
+    # at most max_rows lists; put in order here, so that the fit does not depend on the order of tasks
+    rows = [(x.values.to_numpy(), y) for batch in hashed.mapInArrow(places, "label int, hit array<int>").toArrow().to_batches() for x, y in zip(batch.column(1), batch.column(0).to_pylist(), strict=True)]
     discard(hashed)
-    hits = [np.searchsorted(buckets, np.array(r["hit"], np.int64)) for r in rows]
-    bias, linear, factors = fit_weights(hits, np.array([r["label"] for r in rows]), len(buckets))
+    rows.sort(key=lambda r: (r[0].astype(">u4").tobytes(), r[1]))
+    bias, linear, factors = fit_weights([r[0] for r in rows], np.array([r[1] for r in rows]), len(buckets))
     return FactorizationMachine(buckets, bias, linear, factors)
 
 
