@@ -84,5 +84,9 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_PAGES = "(SELECT page_id, coalesce(html, '') AS payload, sha256(coalesce(html, '')) AS digest FROM pages)"
+_FIRST = f"(SELECT digest, min(page_id) AS first FROM {_PAGES} WHERE octet_length(encode(payload)) >= 100 AND page_id IS NOT NULL GROUP BY digest)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": f"SELECT page_id, octet_length(encode(payload)) AS payload_bytes, p.digest AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM {_PAGES} p LEFT JOIN {_FIRST} f ON p.digest = f.digest"}
