@@ -1,112 +1,195 @@
-"""Byte-level BPE ids through the tokenizers library, each distinct word encoded once.
+"""Byte-level BPE ids through the tokenizers library, each distinct chunk of text encoded once.
 
-The library's pre-tokenizer cuts a text into words and its model encodes each word by itself, so a text's ids
-are its words' ids in turn.  Texts made of common characters are cut here by an equivalent pattern of the faster
-standard regex engine, and the library's model is asked only for words that this worker has not met yet.
-Texts with any other character go through the library whole.
+In a text without two neighbouring white-space characters every space begins a word of the library's pre-tokenizer,
+and no word reaches beyond one.  The ids of such a text are those of its first chunk and of each later chunk with
+its space.  Arrow cuts texts at spaces and numbers the distinct chunks of a batch; the library is asked only for
+chunks that this worker does not hold, all of a batch in one text.  Texts that hold neighbouring white space or an
+added token go through the library whole, as do all texts of tokenizers with another pre-tokenizer.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
-from array import array
+import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: The GPT-2 contractions and word classes, for texts in which \w, \d and \s mean letters, digits, spaces.
-WORDS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Outside of this set classes of the two regex engines may differ (superior digits, fractions, rare spaces, ...).
-UNCOMMON = re.compile("[^\t-\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
-MAX_CACHED = 400_000
+#: Python's class of white space holds all of the library's.
+SPACE = re.compile(r"\s")
+MAX_HELD = 1_000_000  # chunks, some 180 bytes each
+BATCH_BYTES = 8 << 20
 
 
-def byte_alphabet() -> dict[int, str]:
-    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on."""
-    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+class Grown:
+    """An array that doubles its room."""
+
+    def __init__(self, kind):
+        self.room, self.n = np.zeros(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.room):
+            room = np.zeros(max(n, 2 * len(self.room)), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : n] = values
+        self.n = n
+
+
+def spans(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... begin + length - 1 of every span, one after another."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return np.repeat(begin - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def edges(chunks: list[str], column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Whether chunks begin, and whether they end, with white space; empty ones do both."""
+    stops = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"\0", np.uint8)
+    some = np.flatnonzero(np.diff(stops))
+    out = []
+    for at, end in ((stops[:-1], 0), (stops[1:] - 1, -1)):
+        flag = np.ones(len(chunks), bool)
+        byte = data[at[some]]
+        flag[some] = byte <= 32
+        for i in some[byte >= 128].tolist():
+            flag[i] = chunks[i][end].isspace()
+        out.append(flag)
+    return out[0], out[1]
 
 
 class ByteBpe:
     def __init__(self, path: str):
+        os.environ.setdefault("RAYON_NUM_THREADS", "1")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        config = json.loads(self.tokenizer.to_str())
+        cut = config["pre_tokenizer"] or {}
+        self.by_chunks = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not config["normalizer"]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.letters = byte_alphabet()
-        self.reset()
-
-    def reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.pool, self.begin, self.size = array("I"), array("q"), array("q")
-        self.frozen = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.index) + len(words) > MAX_CACHED and self.index:
-            raise OverflowError
-        tokenize, letters = self.model.tokenize, self.letters
-        for word in words:
-            ids = [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]
-            self.index[word] = len(self.begin)
-            self.begin.append(len(self.pool))
-            self.size.append(len(ids))
-            self.pool.extend(ids)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and the number of ids of each text."""
-        ids, counts = [], []
-        for at in range(0, len(texts), 256):
-            a, b = self._encode(texts[at : at + 256])
-            ids.append(a)
-            counts.append(b)
-        return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        words: list[str] = []
-        n_words = np.zeros(len(texts), np.int64)
-        odd: dict[int, np.ndarray] = {}
-        for i, text in enumerate(texts):
-            if UNCOMMON.search(text):
-                odd[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            else:
-                found = WORDS.findall(text)
-                words += found
-                n_words[i] = len(found)
-        new = set(words).difference(self.index)
-        if new:
-            try:
-                self.learn(new)
-            except OverflowError:
-                self.reset()
-                self.learn(set(words))
-            self.frozen = (np.array(self.pool, np.uint32), np.array(self.begin, np.int64), np.array(self.size, np.int64)) if len(new) > 20_000 or not len(self.frozen[0]) else self._grown()
-        pool, begin, size = self.frozen
-        index = self.index
-        at = np.fromiter((index[w] for w in words), np.int64, len(words))
-        lengths = size[at]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = pool[np.repeat(begin[at] - (ends - lengths), lengths) + np.arange(total)] if total else np.zeros(0, np.uint32)
-        stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_words)])]
-        counts = np.diff(stops)
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, i in vocabulary.items():
+            self.spaced[i] = token.startswith("Ġ")  # the byte-level alphabet's space
+        self.clear()
+
+    def library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encode new chunks; one with a leading space is a text's first one, others follow a space."""
+        odd = [c for c in chunks if not c or SPACE.search(c)]
+        apart = set(odd)
+        plain = [c for c in chunks if c not in apart] if odd else chunks
+        ids = self.library(" " + " ".join(plain)) if plain else np.zeros(0, np.uint32)
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(plain):
+            raise ValueError("the tokenizer does not begin a word at each space")
+        self._add(plain, ids, np.diff(np.append(starts, len(ids))))
         if odd:
-            parts = [odd.get(i, flat[stops[i] : stops[i + 1]]) for i in range(len(texts))]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([c[1:] if c[:1] == " " else " " + c for c in odd], add_special_tokens=False)]
+            self._add(odd, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def forget(self) -> None:
+        """Keep the chunks that most batches held, at most half of what there is room for."""
+        used = self.used.room[: self.used.n]
+        least = max(2, int(np.partition(used, -(MAX_HELD // 2))[-(MAX_HELD // 2)]) + 1)
+        kept = np.flatnonzero(used >= least)
+        names = np.array(list(self.held), object)[kept]
+        ids, sizes = self.pool.room[spans(self.begin.room[kept], self.size.room[kept])], self.size.room[kept]
+        self.clear()
+        self._add(names.tolist(), ids, sizes)
+
+    def clear(self) -> None:
+        self.held: dict[str, int] = {}
+        self.pool, self.begin, self.size, self.used = Grown(np.uint32), Grown(np.int64), Grown(np.int32), Grown(np.int32)
+
+    def _add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.held.update(zip(chunks, range(len(self.held), len(self.held) + len(chunks)), strict=True))
+        self.begin.add(self.pool.n + np.cumsum(sizes, dtype=np.int64) - sizes)
+        self.size.add(sizes)
+        self.used.add(np.zeros(len(sizes), np.int32))
+        self.pool.add(ids)
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """Places of chunks, learning the new ones."""
+        get = self.held.get
+        at = np.array([get(c, -1) for c in chunks], np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            names = [chunks[i] for i in new.tolist()]
+            self.learn(list(dict.fromkeys(names)))
+            at[new] = np.fromiter(map(self.held.__getitem__, names), np.int64, len(names))
+        self.used.room[at] += 1
+        return at
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and the number of ids of each text."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        ids, counts, n = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], len(texts)
+        of = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // BATCH_BYTES
+        borders = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), n]
+        for a, b in zip(borders[:-1], borders[1:], strict=True):
+            if a < b:
+                x, y = self._encode(texts.slice(a, b - a))
+                ids.append(x)
+                counts.append(y)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_chunks:
+            found = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+            parts = [np.array(e.ids, np.uint32) for e in found]
+            return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        if len(self.held) > MAX_HELD:
+            self.forget()
+        lists = pc.split_pattern(texts, " ")
+        stops = lists.offsets.to_numpy().astype(np.int64)
+        stops -= stops[0]
+        coded = lists.flatten().dictionary_encode()
+        chunks, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        first = which[stops[:-1]]
+        opens, closes = edges(chunks, coded.dictionary)
+        # white space at a text's own ends has no neighbour there
+        inner_open, inner_close = opens[which], closes[which]
+        inner_open[stops[:-1]] = inner_close[stops[1:] - 1] = False
+        n_chunks = np.diff(stops)
+        whole = set(np.repeat(np.arange(len(texts)), n_chunks)[inner_open | inner_close].tolist())
+        for s in self.special:
+            if any(s in c for c in chunks):
+                whole |= set(np.flatnonzero(pc.match_substring(texts, s).to_numpy(zero_copy_only=False)).tolist())
+        of_chunk = self.numbers(chunks)[which]
+        of_chunk[stops[:-1]] = self.numbers([" " + chunks[i] for i in first.tolist()])
+        lengths = self.size.room[of_chunk]
+        flat = self.pool.room[spans(self.begin.room[of_chunk], lengths)]
+        borders = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[stops]
+        if whole:
+            parts = [self.library(texts[i].as_py()) if i in whole else flat[borders[i] : borders[i + 1]] for i in range(len(texts))]
             return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
-        return flat, counts
+        return flat, np.diff(borders)
+
+
+def ended(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and numbers of ids with end_id after each text."""
+    out = np.full(len(ids) + len(counts), end_id, "<u4")
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+    return out, counts + 1
+
 
-    def _grown(self):
-        pool, begin, size = self.frozen
-        return (
-            np.concatenate([pool, np.array(self.pool[len(pool) :], np.uint32)]),
-            np.concatenate([begin, np.array(self.begin[len(begin) :], np.int64)]),
-            np.concatenate([size, np.array(self.size[len(size) :], np.int64)]),
-        )
+def checksums(ids: np.ndarray, stops: np.ndarray, lengths: np.ndarray) -> list[int]:
+    """CRC-32 of the ids before each stop, as little-endian 32-bit numbers."""
+    data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+    return [zlib.crc32(data[4 * (b - n) : 4 * b]) for b, n in zip(stops.tolist(), lengths.tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
-    """One per Python worker, so words stay known from task to task."""
+    """One per Python worker, so chunks stay known from task to task."""
     return ByteBpe(path)

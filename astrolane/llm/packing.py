@@ -9,8 +9,6 @@ length that a third of all pieces share is ranked by many tasks.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,10 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import byte_bpe
+from .bpe import byte_bpe, checksums, ended, spans
 from .common import partitions, staged, text_or_empty
 
 CAPACITY = 2048
+ROWS_AT_ONCE = 2048
 RANKS = 1 << 40  # more pieces of one length than any corpus has
 
 
@@ -33,31 +32,25 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    fields += [("ids", pa.list_(pa.int32()))] if with_ids else []
+    names = [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())] + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []))
 
     def cut(batches):
         bpe = byte_bpe(tokenizer_path)
         for batch in batches:
-            owners: list[int] = []
-            out: list[list] = [[] for _ in fields]
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 1024):
-                flat, counts = bpe.encode(texts[at : at + 1024])
-                stops = np.cumsum(counts)
-                for i, (stop, n) in enumerate(zip(stops.tolist(), counts.tolist(), strict=True)):
-                    ids = np.append(flat[stop - n : stop], np.uint32(end_id)).astype("<u4")
-                    begin, end = 0, (n % capacity) + 1
-                    while begin <= n:
-                        owners.append(at + i)
-                        part = ids[begin:end]
-                        row = [0 if not begin else out[0][-1] + 1, begin, end - begin, zlib.crc32(part.tobytes())]
-                        for column, value in zip(out, row + ([part.astype(np.int32)] if with_ids else []), strict=True):
-                            column.append(value)
-                        begin, end = end, end + capacity
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64()))] + [pa.array(c, t) for c, (_, t) in zip(out, fields, strict=True)], names=[id_col] + [f for f, _ in fields])
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                ids, n = ended(*bpe.encode(part.column(1)), end_id)
+                first = (n - 1) % capacity + 1
+                pieces = (n - first) // capacity + 1
+                owner, piece = np.repeat(np.arange(len(n)), pieces), spans(np.zeros(len(n), np.int64), pieces)
+                start = np.where(piece > 0, first[owner] + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, first[owner])
+                stops = np.cumsum(length)
+                columns = [pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(checksums(ids, stops, length), pa.int64())]
+                columns += [pa.ListArray.from_arrays(pa.array(np.append(0, stops).astype(np.int32)), pa.array(ids.astype(np.int32)))] if with_ids else []
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), *columns], names=names)
 
     return docs.select(id_col, text_or_empty(text_col).alias("text")).mapInArrow(cut, schema)
 
