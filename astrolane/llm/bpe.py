@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import zlib
 from functools import lru_cache
 from itertools import chain
 
@@ -20,32 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .chunks import HeldChunks, parts_of, split_at_spaces
+
 #: Python's class of white space holds all of the library's.
 SPACE = re.compile(r"\s")
-MAX_HELD = 1_000_000  # chunks, some 180 bytes each
-BATCH_BYTES = 8 << 20
-
-
-class Grown:
-    """An array that doubles its room."""
-
-    def __init__(self, kind):
-        self.room, self.n = np.zeros(1 << 16, kind), 0
-
-    def add(self, values: np.ndarray) -> None:
-        n = self.n + len(values)
-        if n > len(self.room):
-            room = np.zeros(max(n, 2 * len(self.room)), self.room.dtype)
-            room[: self.n] = self.room[: self.n]
-            self.room = room
-        self.room[self.n : n] = values
-        self.n = n
-
-
-def spans(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """begin, begin + 1, ... begin + length - 1 of every span, one after another."""
-    ends = np.cumsum(lengths, dtype=np.int64)
-    return np.repeat(begin - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def edges(chunks: list[str], column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +41,7 @@ def edges(chunks: list[str], column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-class ByteBpe:
+class ByteBpe(HeldChunks):
     def __init__(self, path: str):
         os.environ.setdefault("RAYON_NUM_THREADS", "1")  # a task has one core
         from tokenizers import Tokenizer
@@ -78,7 +55,7 @@ class ByteBpe:
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, i in vocabulary.items():
             self.spaced[i] = token.startswith("Ġ")  # the byte-level alphabet's space
-        self.clear()
+        super().__init__()
 
     def library(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -92,71 +69,26 @@ class ByteBpe:
         starts = np.flatnonzero(self.spaced[ids])
         if len(starts) != len(plain):
             raise ValueError("the tokenizer does not begin a word at each space")
-        self._add(plain, ids, np.diff(np.append(starts, len(ids))))
+        self.add(plain, ids, np.diff(np.append(starts, len(ids))))
         if odd:
             found = [e.ids for e in self.tokenizer.encode_batch_fast([c[1:] if c[:1] == " " else " " + c for c in odd], add_special_tokens=False)]
-            self._add(odd, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
-
-    def forget(self) -> None:
-        """Keep the chunks that most batches held, at most half of what there is room for."""
-        used = self.used.room[: self.used.n]
-        least = max(2, int(np.partition(used, -(MAX_HELD // 2))[-(MAX_HELD // 2)]) + 1)
-        kept = np.flatnonzero(used >= least)
-        names = np.array(list(self.held), object)[kept]
-        ids, sizes = self.pool.room[spans(self.begin.room[kept], self.size.room[kept])], self.size.room[kept]
-        self.clear()
-        self._add(names.tolist(), ids, sizes)
-
-    def clear(self) -> None:
-        self.held: dict[str, int] = {}
-        self.pool, self.begin, self.size, self.used = Grown(np.uint32), Grown(np.int64), Grown(np.int32), Grown(np.int32)
-
-    def _add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.held.update(zip(chunks, range(len(self.held), len(self.held) + len(chunks)), strict=True))
-        self.begin.add(self.pool.n + np.cumsum(sizes, dtype=np.int64) - sizes)
-        self.size.add(sizes)
-        self.used.add(np.zeros(len(sizes), np.int32))
-        self.pool.add(ids)
-
-    def numbers(self, chunks: list[str]) -> np.ndarray:
-        """Places of chunks, learning the new ones."""
-        get = self.held.get
-        at = np.array([get(c, -1) for c in chunks], np.int64)
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            names = [chunks[i] for i in new.tolist()]
-            self.learn(list(dict.fromkeys(names)))
-            at[new] = np.fromiter(map(self.held.__getitem__, names), np.int64, len(names))
-        self.used.room[at] += 1
-        return at
+            self.add(odd, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
 
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
-        ids, counts, n = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], len(texts)
-        of = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // BATCH_BYTES
-        borders = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), n]
-        for a, b in zip(borders[:-1], borders[1:], strict=True):
-            if a < b:
-                x, y = self._encode(texts.slice(a, b - a))
-                ids.append(x)
-                counts.append(y)
-        return np.concatenate(ids), np.concatenate(counts)
+        found = [self._encode(part) for part in parts_of(texts)]
+        return np.concatenate([np.zeros(0, np.uint32), *(x for x, _ in found)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in found)])
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not self.by_chunks:
             found = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
             parts = [np.array(e.ids, np.uint32) for e in found]
             return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
-        if len(self.held) > MAX_HELD:
-            self.forget()
-        lists = pc.split_pattern(texts, " ")
-        stops = lists.offsets.to_numpy().astype(np.int64)
-        stops -= stops[0]
-        coded = lists.flatten().dictionary_encode()
-        chunks, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        self.make_room()
+        column, chunks, which, stops = split_at_spaces(texts)
         first = which[stops[:-1]]
-        opens, closes = edges(chunks, coded.dictionary)
+        opens, closes = edges(chunks, column)
         # white space at a text's own ends has no neighbour there
         inner_open, inner_close = opens[which], closes[which]
         inner_open[stops[:-1]] = inner_close[stops[1:] - 1] = False
@@ -167,8 +99,7 @@ class ByteBpe:
                 whole |= set(np.flatnonzero(pc.match_substring(texts, s).to_numpy(zero_copy_only=False)).tolist())
         of_chunk = self.numbers(chunks)[which]
         of_chunk[stops[:-1]] = self.numbers([" " + chunks[i] for i in first.tolist()])
-        lengths = self.size.room[of_chunk]
-        flat = self.pool.room[spans(self.begin.room[of_chunk], lengths)]
+        flat, lengths = self.ids_of(of_chunk)
         borders = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[stops]
         if whole:
             parts = [self.library(texts[i].as_py()) if i in whole else flat[borders[i] : borders[i + 1]] for i in range(len(texts))]
@@ -176,19 +107,6 @@ class ByteBpe:
         return flat, np.diff(borders)
 
 
-def ended(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and numbers of ids with end_id after each text."""
-    out = np.full(len(ids) + len(counts), end_id, "<u4")
-    out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
-    return out, counts + 1
-
-
-def checksums(ids: np.ndarray, stops: np.ndarray, lengths: np.ndarray) -> list[int]:
-    """CRC-32 of the ids before each stop, as little-endian 32-bit numbers."""
-    data = memoryview(ids.astype("<u4", copy=False)).cast("B")
-    return [zlib.crc32(data[4 * (b - n) : 4 * b]) for b, n in zip(stops.tolist(), lengths.tolist(), strict=True)]
-
-
 @lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
     """One per Python worker, so chunks stay known from task to task."""

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import byte_bpe, checksums, ended, spans
+from .bpe import byte_bpe
+from .chunks import checksums, ended, spans
 from .common import partitions, staged, text_or_empty
 
 CAPACITY = 2048

@@ -3,8 +3,9 @@
 The model file is read as a protobuf message; its normaliser, white-space marker, scores and byte fallback become a
 tokenizers pipeline: a unigram model with the pieces' scores, or a BPE model whose merges follow from them.
 Where no piece holds a white-space marker behind another character, no piece spans two words, so a text's ids are
-its words' ids; then each worker encodes a distinct word once, in multithreaded batches.  Models without this
-property encode whole texts.  The original library encodes every whole text too, for the comparison.
+its words' ids; then each worker encodes, and decodes, a distinct word once, in multithreaded batches.  Models
+without this property, and texts with neighbouring spaces, are encoded whole.  The original library encodes every
+whole text too, for the comparison.
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import zlib
-from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -23,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .chunks import HeldChunks, checksums, parts_of, split_at_spaces
 from .common import text_or_empty
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MAX_CACHED = 600_000
 THREADS = 2
+ROWS_AT_ONCE = 2048
 
 
 def fields(data: bytes):
@@ -142,72 +142,80 @@ def by_words(model: Model) -> bool:
     return not any(kind == USER_DEFINED or kind == NORMAL and inside.search(p) for p, _, kind in model.pieces)
 
 
-class Codec:
+class Codec(HeldChunks):
+    """The flag of a held chunk: it is decoded to itself."""
+
     def __init__(self, path: str):
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # as many as a task may use, before the pool starts
         import sentencepiece
+        from tokenizers import Tokenizer
 
         with open(path, "rb") as f:
             self.model = parse(f.read())
         self.tokenizer = build(self.model)
+        self.core = Tokenizer(self.tokenizer.model)
         self.original = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.split = by_words(self.model)
-        self.plain = not self.model.charsmap and not self.model.squeeze
-        self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        from tokenizers import Tokenizer
+        m = self.model
+        self.split = by_words(m) and m.dummy_prefix and not m.charsmap and not m.squeeze
+        super().__init__()
 
-        self.core = Tokenizer(self.tokenizer.model)
-        self.reset()
-
-    def reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.pool, self.begin, self.size = array("I"), array("q"), array("q")
-
-    def normalised(self, text: str) -> str:
-        if not self.plain:
-            return self.tokenizer.normalizer.normalize_str(text) if text else ""
-        return (MARK + text if self.model.dummy_prefix and text else text).replace(" ", MARK)
-
-    def learn(self, words: list[str]) -> None:
-        """Encode new words in one batch."""
-        ids = [e.ids for e in self.core.encode_batch(words, add_special_tokens=False)]
-        at, used = len(self.begin), len(self.pool)
-        self.index.update(zip(words, range(at, at + len(words)), strict=True))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.size.frombytes(sizes.tobytes())
-        self.begin.frombytes((used + np.cumsum(sizes) - sizes).tobytes())
-        self.pool.extend(chain.from_iterable(ids))
+    def learn(self, chunks: list[str]) -> None:
+        """Encode new chunks, each behind a marker, and decode them again."""
+        ids = [e.ids for e in self.core.encode_batch_fast([MARK + c for c in chunks], add_special_tokens=False)]
+        back = self.decode(ids)
+        fits = np.fromiter((a == b for a, b in zip(back, chunks, strict=True)), bool, len(chunks))
+        self.add(chunks, np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)), fits)
 
     def agrees(self, texts: list[str], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Whether the original library gives each whole text the same ids."""
-        stops = np.cumsum(counts)
         theirs = self.original.encode(texts, num_threads=THREADS) if texts else []
-        return np.fromiter((n == len(x) and ids[b - n : b].tolist() == x for x, b, n in zip(theirs, stops.tolist(), counts.tolist(), strict=True)), bool, len(texts))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids one after another, their number per text, and whether the original agrees on the whole text."""
+        sizes = np.fromiter(map(len, theirs), np.int64, len(theirs))
+        flat = np.fromiter(chain.from_iterable(theirs), np.uint32, int(sizes.sum()))
+        if np.array_equal(sizes, counts) and np.array_equal(flat, ids):
+            return np.ones(len(texts), bool)
+        a, b = np.cumsum(sizes), np.cumsum(counts)
+        return np.array([n == m and np.array_equal(flat[x - n : x], ids[y - m : y]) for n, m, x, y in zip(sizes, counts, a, b, strict=True)], bool)
+
+    def fits(self, text: str, ids: np.ndarray) -> bool:
+        """Whether the ids of a whole text are decoded to it, or to its normalised form."""
+        back = self.decode([ids.tolist()])[0]
+        return back == text or back == self.original.normalize(text).replace(MARK, " ").removeprefix(" " if self.model.dummy_prefix else "")
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids if t else [], np.uint32) for e, t in zip(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)]
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids one after another, their number per text, whether the original agrees, and whether decoding gives the text back."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        empty = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool))
+        return tuple(map(np.concatenate, zip(empty, *map(self._encode, parts_of(texts)), strict=True)))
+
+    def _encode(self, texts: pa.Array):
+        plain = texts.to_pylist()
         if not self.split:
-            found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            found = [ids if t else [] for ids, t in zip(found, texts, strict=True)]
-            ids, counts = np.array([i for ids in found for i in ids], np.uint32), np.array([len(x) for x in found], np.int64)
-            return ids, counts, self.agrees(texts, ids, counts)
-        words = [self.words.findall(self.normalised(t)) for t in texts]
-        flat = [w for found in words for w in found]
-        new = list(set(flat).difference(self.index))
-        if len(self.index) + len(new) > MAX_CACHED:
-            self.reset()
-            new = list(set(flat))
-        if new:
-            self.learn(new)
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        size, begin = np.frombuffer(self.size, np.int64), np.frombuffer(self.begin, np.int64)
-        lengths = size[at] if len(at) else np.zeros(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = np.frombuffer(self.pool, np.uint32)[np.repeat(begin[at] - ends[:-1], lengths) + np.arange(ends[-1])] if len(at) else np.zeros(0, np.uint32)
-        borders = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-        counts = np.diff(ends[borders])
-        del size, begin
-        return ids, counts, self.agrees(texts, ids, counts)
+            parts = self.whole(plain)
+            ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+            return ids, counts, self.agrees(plain, ids, counts), np.array([self.fits(t, x) for t, x in zip(plain, parts, strict=True)], bool)
+        self.make_room()
+        _, chunks, which, stops = split_at_spaces(texts)
+        # neighbouring spaces make one word of several markers, and so may a marker in the text
+        odd = np.array([not c or MARK in c for c in chunks], bool)[which]
+        n_chunks = np.diff(stops)
+        whole = np.unique(np.repeat(np.arange(len(texts)), n_chunks)[odd])
+        at = self.numbers(chunks)[which]
+        ids, lengths = self.ids_of(at)
+        borders = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[stops]
+        fits = np.logical_and.reduceat(self.flag.room[at], stops[:-1])
+        counts = np.diff(borders)
+        if len(whole):
+            again = dict(zip(whole.tolist(), self.whole([plain[i] for i in whole.tolist()]), strict=True))
+            parts = [again[i] if i in again else ids[borders[i] : borders[i + 1]] for i in range(len(plain))]
+            ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        fits[whole] = False
+        ends = np.cumsum(counts)
+        for i in np.flatnonzero(~fits).tolist():  # what chunks do not show is decided on the whole text
+            fits[i] = self.fits(plain[i], ids[ends[i] - counts[i] : ends[i]])
+        return ids, counts, self.agrees(plain, ids, counts), fits
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -223,27 +231,20 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     parity: the original library gives the same ids for the whole text; it is asked for every row, so audited is
     always true.  round_trip: decoding gives the text back, or its normalised form.  A null or empty text has no ids
-    and agrees.
+    and agrees.  Texts of any length are encoded whole.  Repeated rows and equal ids come back each by itself, an
+    empty table gives no rows, and other columns, whatever their names, are not read.
     """
     schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("parity", T.BooleanType()), T.StructField("audited", T.BooleanType()), T.StructField("round_trip", T.BooleanType())] + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []))
 
     def run(batches):
         tool = codec(model_path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            out: list[list] = [[] for _ in schema.fields[1:]]
-            for at in range(0, len(texts), 256):
-                part = texts[at : at + 256]
-                flat, counts, same = tool.encode(part)
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                ids, counts, same, fits = tool.encode(part.column(1))
                 stops = np.cumsum(counts)
-                ids = [flat[b - n : b] for b, n in zip(stops.tolist(), counts.tolist(), strict=True)]
-                decoded = tool.decode([x.tolist() for x in ids])
-                for text, x, ok, back in zip(part, ids, same.tolist(), decoded, strict=True):
-                    crc = zlib.crc32(x.astype("<u4").tobytes())
-                    fits = back == text or back == tool.original.normalize(text).replace(MARK, " ").removeprefix(" " if tool.model.dummy_prefix else "")
-                    for column, value in zip(out, (len(x), crc, ok, True, fits, x.astype(np.int32)), strict=False):
-                        column.append(value)
-            types = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=False))], names=[f.name for f in schema.fields])
+                columns = [part.column(0), pa.array(counts), pa.array(checksums(ids, stops, counts), pa.int64()), pa.array(same), pa.array(np.ones(len(same), bool)), pa.array(fits)]
+                columns += [pa.ListArray.from_arrays(pa.array(np.append(0, stops).astype(np.int32)), pa.array(ids.astype(np.int32)))] if with_ids else []
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
     return docs.select(id_col, text_or_empty(text_col).alias("text")).mapInArrow(run, schema)

@@ -84,22 +84,40 @@ def test_token_files(docs, nothing, ids):
     assert len(got) == len(TEXTS) and coder.read_ids(coder.write_ids(nothing, BPE)).count() == 0
 
 
-@pytest.mark.parametrize("n", [0, 1, 7, 2048, 2049, 5000])
+@pytest.mark.parametrize("n", [0, 1, 7, 4096, 4097, 50_000])
 def test_coder_round_trips_and_notices_damage(n):
     rng = np.random.default_rng(n)
-    ids = np.where(rng.random(n) < 0.7, rng.integers(0, 20, n), rng.integers(0, 65536, n)).astype(np.uint32)
-    blocks = coder.encode_blocks(ids)
-    assert (coder.decode_blocks(blocks) == ids).all()
+    ids = np.where(rng.random(n) < 0.7, rng.integers(0, 20, n), rng.integers(0, 1 << 31, n)).astype(np.uint32)
+    ids[n // 2 : n // 2 + n // 8] = ids[: n // 8]  # order 2 has something to find
+    prior = coder.Prior.of(ids)
+    prior = coder.Prior.unpack(prior.pack())
+    blocks = coder.encode_blocks(ids, prior)
+    assert (coder.decode_blocks(blocks, prior) == ids).all()
     if n:
         assert n < 2048 or sum(map(len, blocks)) < 2 * n
         bad = bytearray(blocks[-1])
-        bad[12] ^= 1
+        bad[8] ^= 1
         with pytest.raises(ValueError):
-            coder.decode_blocks([*blocks[:-1], bytes(bad)])
-        if n > 2048:  # blocks are independent
-            assert (coder.decode_blocks(blocks[1:2]) == ids[2048:4096]).all()
-    with pytest.raises(ValueError):
-        coder.encode_blocks(np.array([65536]))
+            coder.decode_blocks([*blocks[:-1], bytes(bad)], prior)
+        if n > 1000:
+            bad = bytearray(blocks[0])
+            bad[13] ^= 128
+            with pytest.raises(ValueError):
+                coder.decode_blocks([bytes(bad)], prior)
+        if n > 4096:  # blocks are independent
+            assert (coder.decode_blocks(blocks[1:2], prior) == ids[4096:8192]).all()
+            assert (coder.decode_blocks(blocks[::-1], prior) == np.concatenate([ids[i : i + 4096] for i in range(0, n, 4096)][::-1])).all()
+
+
+@pytest.mark.parametrize("kind", ["same", "periodic", "rising", "runs"])
+def test_coder_on_extreme_sequences(kind):
+    n = 20_000
+    at = np.arange(n)
+    ids = {"same": at * 0 + 7, "periodic": at % 5, "rising": at * 3, "runs": at // 1000 % 3}[kind].astype(np.uint32)
+    prior = coder.Prior.of(ids)
+    blocks = coder.encode_blocks(ids, prior)
+    assert (coder.decode_blocks(blocks, prior) == ids).all()
+    assert kind == "rising" or sum(map(len, blocks)) < n // 8
 
 
 def pages(spark):
@@ -170,8 +188,8 @@ def test_unigram_model_is_rebuilt(tmp_path):
     theirs = sentencepiece.SentencePieceProcessor(model_file=str(path))
     mine = spm.Codec(str(path))
     texts = ["ab ab", "abba", "a b", "  ab", "c", ""]
-    flat, counts, same = mine.encode(texts)
-    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [theirs.encode(t) for t in texts] and same.all()
+    flat, counts, same, fits = mine.encode(texts)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [theirs.encode(t) for t in texts] and same.all() and fits.tolist() == [t != "c" for t in texts]
 
 
 def small_corpus(spark):
