@@ -1,17 +1,21 @@
-"""Katz backoff language model: Good-Turing discounts, exactly normalised backoff weights.
+"""Katz backoff language model of order 3: Good-Turing discounts, exactly normalised backoff weights.
 
-P(w | h) = d(c) * c(h, w) / (c(h) + 1/2)   if the training texts hold the pair, c = c(h, w)
-         = alpha(h) * P(w)                 otherwise, or P(w) where h never precedes anything
+P(w | h) = d(c) * c(h, w) / (c(h) + 1/2)   if the training texts hold (h, w), c = c(h, w)
+         = alpha(h) * P(w | h')            otherwise, h' being h without its first word, or P(w | h') where h never
+                                           precedes anything
 P(w)     = (c(w) + 1/2) / (N + (V + 1) / 2), all unknown words together being one more word.
 
-alpha(h) is what the discounts leave of h's mass over what P gives to the words not seen after h, so each P(. | h)
-sums to one.  Half a count is set aside in every context, so that words after a context whose pairs are all
-frequent (and undiscounted) keep a probability.
-
-Texts become batches of word numbers, stored once.  A batch asks for the counts of its distinct words and pairs in
-range partitions of the 64-bit key; a partition adds up all batches' counts and answers every batch in its order of
-keys.  The count tables of words and pairs are thus split by key range, no word or pair gathers rows (a batch
-asks once however often it holds it), and nothing of the corpus but a dozen totals reaches the driver.
+alpha(h) is what the discounts leave of h's mass over what P(. | h') gives to the words not seen after h, so each
+P(. | h) sums to one.  Half a count is set aside in every context, so that words after a context whose followers are
+all frequent (and undiscounted) keep a probability.  h has up to two words; a text's first word follows the start.
+
+Texts become batches of word numbers, stored once.  A batch asks for the counts of its distinct words, pairs and
+triples in range partitions of 64-bit keys; a partition adds up all batches' counts and answers every batch in its
+order of keys.  The count tables are thus split by key range, no word or pair gathers rows (a batch asks once however
+often it holds it), and nothing of the corpus but some totals reaches the driver.  Triples are split by the key of
+their first two words, so a partition also sums up what alpha of a pair takes; of a triple it needs the counts of its
+last two words, which the batch knows by then.  An answer on triples has two bits each, and the counts above one.
+Triples go in ROUNDS, each over a part of the partitions, which bounds the disk that their exchange takes.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from .jaccard import WordHashes
 BATCH_TOKENS = 1_500_000
 PART_KEYS = 1_500_000
 GT_LIMIT = 5
+ROUNDS = 2
 END = np.uint64(xxhash.xxh3_64_intdigest(b"end\n"))  # words hold no line feeds
 START = np.uint64(xxhash.xxh3_64_intdigest(b"start\n"))
 
@@ -99,6 +104,15 @@ class Batch:
         rank[order] = np.arange(len(order))
         return keys[order], context[order], word[order], rank[of_token]
 
+    def triples(self, of_token: np.ndarray):
+        """Per distinct triple, by first pair and last word: the place of its first pair, its word; the tokens that
+        end a triple, and the triple of each."""
+        ends = np.ones(len(self.tokens), bool)
+        ends[self.starts] = False
+        at = np.flatnonzero(ends)
+        codes, of_end = np.unique(of_token[at - 1] * len(self.words) + self.tokens[at], return_inverse=True)
+        return codes // len(self.words), codes % len(self.words), at, of_end
+
 
 def rows_of(table: pa.Table) -> list[dict]:
     return table.to_pylist()
@@ -219,49 +233,47 @@ def replies_in_order(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(counts), np.concatenate(owner)
 
 
-_PARTIAL = "batch long, ids array<long>, train binary, n_tokens array<long>, n_known array<long>, base array<double>, partial array<double>, open_sizes array<int>, open binary, width int, keys binary, context_counts binary, seen binary, lower binary"
+_STATE = "batch long, ids array<long>, train binary, sizes array<int>, words binary, tokens binary, word_counts binary, pair_counts binary, width int, keys binary, context_counts binary, seen binary, lower binary"
 
 
-def evaluated(batches: DataFrame, replies: DataFrame, d: np.ndarray, totals: tuple[int, int]) -> DataFrame:
-    """Per batch: what each text's score takes from words and seen pairs, the contexts it backs off from, and the
-    batch's share of each context's sums (of every pair, the first batch that holds it has the share)."""
+def with_counts(batches: DataFrame, replies: DataFrame, d: np.ndarray, totals: tuple[int, int]) -> DataFrame:
+    """Batches with the counts of their words and pairs, and their share of the sums of each context of one word (of
+    every pair, the first batch that holds it has the share)."""
     n_train, vocabulary = totals
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = rows_of(left)[0]
         batch = Batch(row)
-        keys, context, word, of_token = batch.pairs()
+        keys, context, word, _ = batch.pairs()
         levels = right.column("level").to_numpy()
         c1, _ = replies_in_order(right.filter(pa.array(levels == 1)), len(batch.words))
         c2, owner = replies_in_order(right.filter(pa.array(levels == 2)), len(keys))
         p1 = (c1 + 0.5) / (n_train + 0.5 * (vocabulary + 1))
-        kept = d[np.minimum(c2, len(d) - 1)] * c2
-        seen = c2 > 0
-        log1 = np.log10(p1)
-        logs = np.where(seen, np.log10(np.where(seen, kept, 1.0) / (c1[context] + 0.5)), log1[word])
-        backs_off = ~seen & (c1[context] > 0)
-        mine = owner & seen
-        used = np.zeros(len(batch.words), bool)
-        used[context[mine]] = used[context[backs_off]] = True
+        mine = owner & (c2 > 0)
+        used = open_contexts(c1, c2, context)
+        used[context[mine]] = True
         order = np.flatnonzero(used)
-        place = np.cumsum(used) - 1
-        open_token = backs_off[of_token]
-        per_text = lambda values: np.add.reduceat(values, batch.starts) if len(batch.starts) else np.zeros(0)
-        width, packed = packed_keys(batch.words[order])
+        kept = d[np.minimum(c2, len(d) - 1)] * c2
         sums = [np.bincount(context[mine], weights=w[mine], minlength=len(batch.words))[order] for w in (kept, p1[word])]
-        known = (c1 > 0)[batch.tokens].astype(np.int64)
-        out = {
-            "batch": row["batch"], "ids": batch.ids, "train": row["train"], "n_tokens": batch.sizes, "n_known": per_text(known), "base": per_text(log1[batch.tokens]), "partial": per_text(logs[of_token]),
-            "open_sizes": per_text(open_token.astype(np.int32)), "open": place[context[of_token[open_token]]].astype(np.int32).tobytes(), "width": width, "keys": packed,
-            "context_counts": packed_counts(c1[order]), "seen": sums[0].tobytes(), "lower": sums[1].tobytes(),
-        }
-        types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+        width, packed = packed_keys(batch.words[order])
+        out = row | {"word_counts": packed_counts(c1), "pair_counts": packed_counts(c2), "width": width, "keys": packed, "context_counts": packed_counts(c1[order]), "seen": sums[0].tobytes(), "lower": sums[1].tobytes()}
+        types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), *[pa.binary()] * 4, pa.int32(), *[pa.binary()] * 4]
+        return pa.Table.from_arrays([pa.array([out[f]], t) for f, t in zip(_FIELDS, types, strict=True)], names=_FIELDS)
 
-    return batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(run, _PARTIAL)
+    return batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(run, _STATE)
 
 
-def ask_backoff(partial: DataFrame, parts: int) -> DataFrame:
+_FIELDS = [f.split()[0] for f in _STATE.split(", ")]
+
+
+def open_contexts(c1: np.ndarray, c2: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The words after which the batch meets words that were never seen there."""
+    out = np.zeros(len(c1), bool)
+    out[context[(c2 == 0) & (c1[context] > 0)]] = True
+    return out
+
+
+def ask_backoff(states: DataFrame, parts: int) -> DataFrame:
     def run(tables):
         for table in tables:
             for row in rows_of(table):
@@ -274,7 +286,7 @@ def ask_backoff(partial: DataFrame, parts: int) -> DataFrame:
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["part", "batch", "width", "keys", "counts", "seen", "lower"])
 
-    return partial.select("batch", "width", "keys", "context_counts", "seen", "lower").mapInArrow(run, _ASK + ", seen binary, lower binary")
+    return states.select("batch", "width", "keys", "context_counts", "seen", "lower").mapInArrow(run, _ASK + ", seen binary, lower binary")
 
 
 def backoff_weights(asked: DataFrame) -> DataFrame:
@@ -293,27 +305,140 @@ def backoff_weights(asked: DataFrame) -> DataFrame:
     return asked.groupBy("part").applyInArrow(run, "batch long, part long, alpha binary")
 
 
-def finished(partial: DataFrame, alphas: DataFrame, id_col: str) -> DataFrame:
+_ASK3 = "part long, batch long, width int, keys binary, context_counts binary, followers binary, words binary, counts binary, pair_counts binary"
+_REPLY3 = "batch long, part long, n int, seen binary, several binary, counts binary, classes binary, lower binary, totals array<long>"
+
+
+def ask_triples(states: DataFrame, parts: int, turn: int, rounds: int) -> DataFrame:
+    """Each batch's distinct triples, by their first pair, with their counts in its training texts; of the pair the
+    count of its last word, of the triple the count of its last two words, both in all training texts."""
+
+    def run(tables):
+        for table in tables:
+            for row in rows_of(table):
+                batch = Batch(row)
+                keys, context, word, of_token = batch.pairs()
+                c1, c2 = unpacked_counts(len(batch.words), row["word_counts"]), unpacked_counts(len(keys), row["pair_counts"])
+                pair, last, at, of_end = batch.triples(of_token)
+                counts = np.bincount(of_end[batch.token_train[at]], minlength=len(pair))
+                tail = np.zeros(len(pair), np.int64)
+                tail[of_end] = of_token[at]  # the pair of a triple's last two words
+                used, followers = np.unique(pair, return_counts=True)
+                stops = np.concatenate([[0], np.cumsum(followers)])
+                short = (batch.words >> np.uint64(24))[last].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                borders, columns = split_keys(keys[used], parts), [[] for _ in range(9)]
+                for part in np.flatnonzero(np.diff(borders)).tolist():
+                    if part % rounds == turn:
+                        mine, inside = slice(borders[part], borders[part + 1]), slice(stops[borders[part]], stops[borders[part + 1]])
+                        values = (part, row["batch"], *packed_keys(keys[used[mine]]), c1[word[used[mine]]].astype("<i8").tobytes(), packed_counts(followers[mine]), short[inside].tobytes(), packed_counts(counts[inside]), packed_counts(c2[tail[inside]]))
+                        for column, value in zip(columns, values, strict=True):
+                            column.append(value)
+                types = (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 6)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in _ASK3.split(", ")])
+
+    return states.mapInArrow(run, _ASK3)
+
+
+def counted_triples(asked: DataFrame, d2: np.ndarray) -> DataFrame:
+    """To every batch: which of its triples are seen, and seen several times, with these counts; and of each pair after
+    which it has an unseen word, how many words were seen after it once, twice, ... up to GT_LIMIT times, how
+    often those above it, and what P(. | last word) gives to all of them.  One row more has the totals."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(rows_of(table), key=lambda r: r["batch"])
+        keys = [unpacked_keys(r["width"], r["keys"]) for r in rows]
+        words = [np.frombuffer(r["words"], np.uint8).reshape(-1, 5) for r in rows]
+        followers = [unpacked_counts(len(k), r["followers"]) for k, r in zip(keys, rows, strict=True)]
+        counts = np.concatenate([unpacked_counts(len(w), r["counts"]) for w, r in zip(words, rows, strict=True)])
+        pair_counts = np.concatenate([unpacked_counts(len(w), r["pair_counts"]) for w, r in zip(words, rows, strict=True)])
+        before = np.concatenate([np.frombuffer(r["context_counts"], "<i8") for r in rows])
+        every_key, of_key = np.unique(np.concatenate(keys), return_inverse=True)
+        of_context = np.repeat(np.arange(len(of_key)), np.concatenate(followers))
+        raw = np.concatenate(words)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :5] = raw
+        codes = of_key[of_context].astype(np.uint64) << np.uint64(40) | wide.view("<u8").ravel()
+        distinct, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
+        total = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)
+        key, seen = (distinct >> np.uint64(40)).astype(np.int64), total > 0
+        c2 = pair_counts[first]
+        given = d2[np.minimum(c2, len(d2) - 1)] * c2 / (before[of_context[first]] + 0.5)
+        lower = np.bincount(key[seen], weights=given[seen], minlength=len(every_key))
+        classes = np.stack([np.bincount(key[total == r], minlength=len(every_key)) for r in range(1, GT_LIMIT + 1)] + [np.bincount(key, weights=np.where(total > GT_LIMIT, total, 0), minlength=len(every_key)).astype(np.int64)], axis=1)
+        of_triple, at, at_key, out = total[inverse], 0, 0, []
+        for r, k, w in zip(rows, keys, words, strict=True):
+            mine = of_triple[at : at + len(w)]
+            local = of_context[at : at + len(w)] - at_key
+            asked_of = of_key[at_key : at_key + len(k)][np.bincount(local[mine == 0], minlength=len(k)) > 0]
+            several = mine > 1
+            out.append({"batch": r["batch"], "part": r["part"], "n": len(w), "seen": np.packbits(mine > 0).tobytes(), "several": np.packbits(several).tobytes(), "counts": packed_counts(mine[several]), "classes": packed_counts(classes[asked_of].ravel()), "lower": lower[asked_of].tobytes(), "totals": None})
+            at, at_key = at + len(w), at_key + len(k)
+        sums = [int(total.sum()), int(seen.sum()), *np.bincount(total[seen & (total <= GT_LIMIT + 1)], minlength=GT_LIMIT + 2)[1:].tolist()]
+        out.append({f.split()[0]: None for f in _REPLY3.split(", ")} | {"part": rows[0]["part"], "totals": sums})
+        return pa.Table.from_pylist(out, schema=pa.schema([("batch", pa.int64()), ("part", pa.int64()), ("n", pa.int32()), *[(f, pa.binary()) for f in ("seen", "several", "counts", "classes", "lower")], ("totals", pa.list_(pa.int64()))]))
+
+    return asked.groupBy("part").applyInArrow(run, _REPLY3)
+
+
+def triple_counts(rows: list[dict], contexts: np.ndarray, n_contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Answers in order -> counts of the batch's triples; the contexts (places) with unseen triples, their classes, lower sums."""
+    rows = sorted(rows, key=lambda r: r["part"])
+    parts, classes, lower = [np.zeros(0, np.int64)], [np.zeros((0, GT_LIMIT + 1), np.int64)], [np.zeros(0)]
+    for r in rows:
+        bits = lambda name, n=r["n"], r=r: np.unpackbits(np.frombuffer(r[name], np.uint8), count=n).astype(bool)
+        several, own = bits("several"), np.frombuffer(r["lower"])
+        c = bits("seen").astype(np.int64)
+        c[several] = unpacked_counts(int(several.sum()), r["counts"])
+        parts.append(c)
+        lower.append(own)
+        classes.append(unpacked_counts(len(own) * (GT_LIMIT + 1), r["classes"]).reshape(-1, GT_LIMIT + 1))
+    c3 = np.concatenate(parts)
+    asked = np.flatnonzero(np.bincount(contexts[c3 == 0], minlength=n_contexts))
+    return c3, asked, np.concatenate(classes), np.concatenate(lower)
+
+
+def finished(states: DataFrame, answers: DataFrame, d2: np.ndarray, d3: np.ndarray, totals: tuple[int, int], id_col: str) -> DataFrame:
+    """The score of every text: each token's highest order that was seen, with the weights of those above it."""
+    n_train, vocabulary = totals
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = rows_of(left)[0]
-        alpha = np.concatenate([np.zeros(0), *(np.frombuffer(r["alpha"]) for r in sorted(rows_of(right), key=lambda r: r["part"]))])
-        sizes = np.array(row["open_sizes"], np.int64)
-        sums = np.concatenate([[0.0], np.cumsum(alpha[np.frombuffer(row["open"], np.int32)])])
-        stops = np.cumsum(sizes)
-        score = np.array(row["partial"]) + sums[stops] - sums[stops - sizes]
-        held = ~np.frombuffer(row["train"], np.uint8).astype(bool)
-        return pa.Table.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(held), pa.array(row["n_tokens"], pa.int64()), pa.array(row["n_known"], pa.int64()), pa.array(row["base"], pa.float64()), pa.array(score)], names=[id_col, "held_out", "n_tokens", "n_known", "base_score", "score"])
+        row, replies = rows_of(left)[0], rows_of(right)
+        batch = Batch(row)
+        keys, context, word, of_token = batch.pairs()
+        c1, c2 = unpacked_counts(len(batch.words), row["word_counts"]), unpacked_counts(len(keys), row["pair_counts"])
+        log1 = np.log10((c1 + 0.5) / (n_train + 0.5 * (vocabulary + 1)))
+        # order 2
+        order = np.searchsorted(batch.words, unpacked_keys(row["width"], row["keys"]))
+        alpha = np.zeros(len(batch.words))
+        alpha[order] = np.concatenate([np.zeros(0), *(np.frombuffer(r["alpha"]) for r in sorted((r for r in replies if r["level"] == 1), key=lambda r: r["part"]))])
+        kept = d2[np.minimum(c2, len(d2) - 1)] * c2
+        backed = np.where(c1[context] > 0, alpha[context], 0.0) + log1[word]
+        log2 = np.where(c2 > 0, np.log10(np.where(c2 > 0, kept, 1.0) / (c1[context] + 0.5)), backed)
+        # order 3
+        pair, _, at, of_end = batch.triples(of_token)
+        c3, asked, classes, lower = triple_counts([r for r in replies if r["level"] == 3], pair, len(keys))
+        weights = np.append(d3[1 : GT_LIMIT + 1] * np.arange(1, GT_LIMIT + 1), 1.0)
+        alpha2 = np.zeros(len(keys))
+        some = c2[asked] > 0
+        alpha2[asked[some]] = np.log10((1 - classes[some] @ weights / (c2[asked[some]] + 0.5)) / (1 - lower[some]))
+        kept = d3[np.minimum(c3, len(d3) - 1)] * c3
+        logs = log2[of_token]
+        c = c3[of_end]
+        logs[at] = np.where(c > 0, np.log10(np.where(c > 0, kept[of_end], 1.0) / (c2[pair[of_end]] + 0.5)), alpha2[pair[of_end]] + logs[at])
+        per_text = lambda values: np.add.reduceat(values, batch.starts) if len(batch.starts) else np.zeros(0)
+        known = (c1 > 0)[batch.tokens].astype(np.int64)
+        return pa.Table.from_arrays([pa.array(batch.ids, pa.int64()), pa.array(~batch.train), pa.array(batch.sizes), pa.array(per_text(known)), pa.array(per_text(log1[batch.tokens])), pa.array(per_text(logs))], names=[id_col, "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    light = partial.select("batch", "ids", "train", "n_tokens", "n_known", "base", "partial", "open_sizes", "open")
-    return light.groupBy("batch").cogroup(alphas.groupBy("batch")).applyInArrow(run, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return states.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", batch_tokens: int = BATCH_TOKENS, rounds: int = ROUNDS) -> DataFrame:
     """Learn from the rows where the boolean column `train` holds, score all rows.
 
     Per row: id_col, held_out, n_tokens (words and one end), n_known, train_tokens, base_score, score; log10.
     Null or empty texts are their end alone.  Repeated rows count, and come back, each by itself.  Without training
-    rows every word is unknown and the only word, so all scores are 0.  An empty table gives no rows.
+    rows every word is unknown and the only word, so all scores are 0.  An empty table gives no rows.  A text of any
+    length lies in one batch.  Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     batches = staged(word_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).cast("int").alias("train"), text_or_empty(text_col).alias("text")), batch_tokens), "word-batches")
@@ -324,11 +449,22 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     pairs = staged(counted(ask(batches, 2, parts)), "pair-counts")
     release(spark)
     n_train, vocabulary, *_ = totals_of(words)
-    d = discounts(totals_of(pairs)[2:])
+    d2 = discounts(totals_of(pairs)[2:])
     both = words.withColumn("level", F.lit(1)).union(pairs.withColumn("level", F.lit(2))).where("batch is not null").select("batch", "part", "level", "n", "counts", "owner")
-    partial = staged(evaluated(batches, both, d, (n_train, vocabulary)), "partial-scores")
+    states = staged(with_counts(batches, both, d2, (n_train, vocabulary)), "counted-batches")
     discard(batches, words, pairs)
     release(spark)
-    alphas = staged(backoff_weights(ask_backoff(partial, parts)), "backoff-weights")
+    alphas = staged(backoff_weights(ask_backoff(states, parts)), "backoff-weights")
     release(spark)
-    return finished(partial, alphas, id_col).withColumn("train_tokens", F.lit(n_train).cast("long"))
+    triples = []
+    for turn in range(rounds):
+        triples.append(staged(counted_triples(ask_triples(states, parts, turn, rounds), d2), "triple-counts"))
+        release(spark)
+    counts3 = triples[0]
+    for more in triples[1:]:
+        counts3 = counts3.union(more)
+    d3 = discounts(totals_of(counts3)[2:])
+    nothing = [F.lit(None).cast("binary").alias(c) for c in ("seen", "several", "counts", "classes", "lower")]
+    answers = alphas.select("batch", "part", F.lit(1).alias("level"), "alpha", F.lit(None).cast("int").alias("n"), *nothing)
+    answers = answers.union(counts3.where("batch is not null").select("batch", "part", F.lit(3).alias("level"), F.lit(None).cast("binary").alias("alpha"), "n", "seen", "several", "counts", "classes", "lower"))
+    return finished(states, answers, d2, d3, (n_train, vocabulary), id_col).withColumn("train_tokens", F.lit(n_train).cast("long"))

@@ -14,25 +14,44 @@ TEXTS = ["the cat sat on the mat", "The cat sat on the hat", "a b a b a b c", No
 def brute(rows, train):
     """P(w | h) as the module's docstring states it, over dictionaries."""
     docs = {i: (t or "").encode().lower().split() + ["</s>"] for i, t in rows}
-    c1, c2, starts = Counter(), Counter(), 0
+    counts, starts = [Counter(), Counter(), Counter()], 0
     for i, words in docs.items():
         if train(i):
             starts += 1
-            c1.update(words)
-            c2.update(zip(["<s>"] + words, words))
+            counts[0].update((w,) for w in words)
+            counts[1].update(zip(["<s>"] + words, words))
+            counts[2].update(zip(["<s>"] + words, words, words[1:]))
+    c1 = counts[0]
     n, v = sum(c1.values()), len(c1)
-    p1 = lambda w: (c1[w] + 0.5) / (n + 0.5 * (v + 1))
-    d = katz.discounts([sum(x == r for x in c2.values()) for r in range(1, katz.GT_LIMIT + 2)])
-    context = dict(c1) | {"<s>": starts}
+    p1 = lambda w: (c1[w,] + 0.5) / (n + 0.5 * (v + 1))
+    d = [None] + [katz.discounts([sum(x == r for x in c.values()) for r in range(1, katz.GT_LIMIT + 2)]) for c in counts[1:]]
+    context = [dict(c1) | {("<s>",): starts}, counts[1]]
     after = defaultdict(list)
-    for h, w in c2:
-        after[h].append(w)
-    seen_p = lambda h, w: d[min(c2[h, w], len(d) - 1)] * c2[h, w] / (context[h] + 0.5)
-    alpha = {h: (1 - sum(seen_p(h, w) for w in ws)) / (1 - sum(p1(w) for w in ws)) for h, ws in after.items()}
-    p = lambda h, w: seen_p(h, w) if c2[h, w] else alpha.get(h, 1.0) * p1(w)
+    for c in counts[1:]:
+        for gram in c:
+            after[gram[:-1]].append(gram[-1])
+
+    def seen_p(h, w):
+        k = len(h)
+        c = counts[k][*h, w]
+        return d[k][min(c, len(d[k]) - 1)] * c / (context[k - 1][h] + 0.5)
+
+    def p(h, w):
+        if not h:
+            return p1(w)
+        if counts[len(h)][*h, w]:
+            return seen_p(h, w)
+        if h not in after:
+            return p(h[1:], w)
+        return (1 - sum(seen_p(h, x) for x in after[h])) / (1 - sum(p(h[1:], x) for x in after[h])) * p(h[1:], w)
+
     for h in after:  # each context's distribution sums to one, the unknown word included
-        assert math.isclose(sum(p(h, w) for w in [*c1, "never seen"]), 1.0, rel_tol=1e-9)
-    return {i: (len(ws), sum(w in c1 for w in ws), n, sum(math.log10(p1(w)) for w in ws), sum(math.log10(p(h, w)) for h, w in zip(["<s>"] + ws, ws))) for i, ws in docs.items()}
+        assert math.isclose(sum(p(h, w) for w in [*(w for (w,) in c1), "never seen"]), 1.0, rel_tol=1e-9)
+    out = {}
+    for i, ws in docs.items():
+        grams = [(("<s>", *ws)[max(0, k - 1) : k + 1], w) for k, w in enumerate(ws)]
+        out[i] = (len(ws), sum((w,) in c1 for w in ws), n, sum(math.log10(p1(w)) for w in ws), sum(math.log10(p(h, w)) for h, w in grams))
+    return out
 
 
 @pytest.mark.parametrize("batch_tokens", [5, 1_000_000])
