@@ -103,7 +103,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, keep: list[str], seed: int, id_co
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(weights, pa.float64())], names=[*keep, "log_weight"])
 
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weighed = docs.select(*keep, text_or_empty(text_col).alias("__text")).mapInArrow(run, schema)
+    weighed = docs.select(*keep, text_or_empty(text_col)).mapInArrow(run, schema)
     return weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
 
 
@@ -150,20 +150,22 @@ def resample(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
     The target model is counted over at most max_rows labelled good texts; the raw model over all texts.
     k is `share` of the rows; by default as many rows as weigh at least what parts good from bad among those
     labelled, where losing a good row counts as five bad ones kept.  Rows whose key ties with the k-th stay with it (repeated rows live or go together).
-    Null or empty texts have weight 0.  Without labelled rows of both kinds every row is kept.
+    Null or empty texts have weight 0.  Without labelled rows of both kinds every row is kept.  An empty table gives no
+    rows.  Kept columns named log_weight or gumbel_key give way to those; other columns are not read.
     """
-    keep = keep or [id_col]
-    sample = staged(labelled_sample(labels, label_col, id_col, max_rows), "quality-sample")
+    asked = keep or [id_col]
+    keep = [id_col, *(c for c in asked if c not in (id_col, "log_weight", "gumbel_key"))]
+    sample = staged(labelled_sample(labels, label_col, id_col, max_rows), "quality-sample").toDF("__id", "__label")
     # Broadcast: at most max_rows pairs of numbers.
-    good = docs.select(id_col, text_col).join(F.broadcast(sample.where("label = 1")), id_col)
+    good = docs.select(id_col, text_col).join(F.broadcast(sample.where("__label = 1")), F.col(id_col) == F.col("__id"))
     target = count_grams(good, text_col)
     ratios = log_ratios(target, count_grams(docs, text_col)) if target.any() else np.zeros(BUCKETS + SHAPES)
     weighed = staged(weigh(docs, ratios, keep, seed, id_col, text_col), "weighed")
     if share is None:
-        known = weighed.join(F.broadcast(sample), id_col).groupBy(id_col, "label").agg(F.min("log_weight").alias("w")).select("label", "w").collect()
-        k = weighed.where(F.col("log_weight") >= parting(np.array([r["w"] for r in known]), np.array([r["label"] for r in known]))).count()
+        known = weighed.join(F.broadcast(sample), F.col(id_col) == F.col("__id")).groupBy("__id", "__label").agg(F.min("log_weight").alias("w")).select("__label", "w").collect()
+        k = weighed.where(F.col("log_weight") >= parting(np.array([r["w"] for r in known]), np.array([r["__label"] for r in known]))).count()
     else:
         k = int(np.ceil(share * weighed.count()))
-    discard(sample)
     least = kth_largest(weighed, "gumbel_key", k)
-    return weighed.where(F.col("gumbel_key") >= F.lit(least)) if least is not None else weighed.limit(0)
+    drawn = weighed.where(F.col("gumbel_key") >= F.lit(least)) if least is not None else weighed.limit(0)
+    return drawn.select(*(c for c in asked if c in keep), "log_weight", "gumbel_key")

@@ -68,12 +68,26 @@ def _buckets(text: str) -> list[int]:
     return sorted({b for t in set(TERM.findall(text.lower())) for b in buckets_of(t)})
 
 
+def gradients(held: np.ndarray, y: np.ndarray, importance: np.ndarray, bias: float, linear: np.ndarray, factors: np.ndarray):
+    """The mean weighted logistic loss of rows (0/1 matrix of held features) and its gradients."""
+    sums = held @ factors
+    margin = bias + held @ linear + 0.5 * ((sums**2).sum(1) - held @ (factors**2).sum(1))
+    loss = float((importance * (np.logaddexp(0, margin) - y * margin)).mean())
+    g = importance * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / len(y)
+    return loss, g.sum(), held.T @ g, held.T @ (g[:, None] * sums) - factors * (held.T @ g)[:, None]
+
+
+def balanced(y: np.ndarray) -> np.ndarray:
+    """Weights that make both classes count alike."""
+    share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
+    return np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+
+
 def fit_weights(rows: list[np.ndarray], toxic: np.ndarray, n_features: int, k: int = 8, epochs: int = 40, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
     """Class-balanced logistic loss with weight decay, by Adam over mini-batches.  rows: each one's feature ids."""
     rng = np.random.default_rng(seed)
     y = toxic.astype(np.float32)
-    share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
-    importance = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    importance = balanced(y)
     params = [np.zeros(1, np.float32), np.zeros(n_features, np.float32), rng.normal(0, 0.02, (n_features, k)).astype(np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
@@ -85,13 +99,10 @@ def fit_weights(rows: list[np.ndarray], toxic: np.ndarray, n_features: int, k: i
             held, place = np.unique(np.concatenate([rows[i] for i in pick]), return_inverse=True)
             b = np.zeros((len(pick), len(held)), np.float32)
             b[np.repeat(np.arange(len(pick)), [len(rows[i]) for i in pick]), place] = 1
-            linear, factors = params[1][held], params[2][held]
-            sums = b @ factors
-            margin = params[0] + b @ linear + 0.5 * ((sums**2).sum(1) - b @ (factors**2).sum(1))
-            g = importance[pick] * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[pick]) / len(pick)
-            grads = [np.array([g.sum()]), 1e-5 * params[1], 1e-4 * params[2]]
-            grads[1][held] += b.T @ g
-            grads[2][held] += b.T @ (g[:, None] * sums) - factors * (b.T @ g)[:, None]
+            _, of_bias, of_linear, of_factors = gradients(b, y[pick], importance[pick], params[0], params[1][held], params[2][held])
+            grads = [np.array([of_bias]), 1e-5 * params[1], 1e-4 * params[2]]
+            grads[1][held] += of_linear
+            grads[2][held] += of_factors
             step += 1
             for p, d, m, v in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (d - m)
@@ -112,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 
     Features are all term buckets whose chi-square against the label chance would not explain, however many.  Copies
     count once, there and in the fit, so a group of them gives its words no more weight than one text does.
-    Without rows of both classes the machine has no features and gives every text the base rate.
+    Without rows of both classes the machine has no features and gives every text the base rate.  Rows without an
+    id, label or text teach nothing but the base rate; labels of ids that docs lacks are passed over.
     """
     sample = labelled_sample(labels, label_col, id_col, max_rows)
 
@@ -157,7 +169,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
-    """The columns of `keep` and the score of each whole text; a null or empty text has the bias alone."""
+    """The columns of `keep` and the score of each whole text; a null or empty text has the bias alone.
+
+    A kept column with the name of the score gives way to it.  Repeated rows and equal ids come back each by itself.
+    """
+    keep = [c for c in keep if c != name]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
 
     def run(batches):
@@ -174,10 +190,10 @@ def score(docs: DataFrame, machine: FactorizationMachine, keep: list[str], text_
                             known.clear()
                         hit = known[term] = tuple(of_bucket[b] for b in buckets_of(term) if b in of_bucket)
                     found.update(hit)
-                active.append(sorted(found))
+                active.append(np.fromiter(found, np.int64, len(found)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(machine.scores(active))], names=[*keep, name])
 
-    return docs.select(*keep, text_or_empty(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, text_or_empty(text_col)).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id", parts: int = 3):
@@ -188,7 +204,11 @@ def held_out(id_col: str = "doc_id", parts: int = 3):
 THRESHOLD = 0.7
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, **options) -> DataFrame:
-    """Fit on the labelled rows that are not held out, then score every row of docs; keeps the named columns."""
-    machine = fit(docs, labels.where(~held_out()), **options)
-    return score(docs, machine, keep or ["doc_id"])
+def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", **options) -> DataFrame:
+    """Fit on the labelled rows that are not held out, then score every row of docs; keeps the named columns.
+
+    Null and empty texts have the bias alone, repeated rows come back each by itself, equal scores are equal, an empty
+    table gives no rows.  Columns that are not kept, whatever their names, are not read.
+    """
+    machine = fit(docs, labels.where(~held_out(id_col)), id_col=id_col, **options)
+    return score(docs, machine, keep or [id_col])

@@ -327,3 +327,71 @@ def test_media_higher_than_one_image():
     payload = bytes(range(192)) * (webp.MAX_SIDE + 5)
     images = webp.images_of(webp.encode_payload(payload))
     assert len(images) == 2 and webp.payload_of(images) == payload
+
+
+def test_machine_gradients_equal_differences():
+    rng = np.random.default_rng(2)
+    held = (rng.random((12, 5)) < 0.5).astype(float)
+    y, bias, linear, factors = (rng.random(12) < 0.4).astype(float), np.array([0.2]), rng.normal(size=5), rng.normal(size=(5, 3))
+    importance = toxicity.balanced(y)
+    _, *got = toxicity.gradients(held, y, importance, bias, linear, factors)
+    loss = lambda: toxicity.gradients(held, y, importance, bias, linear, factors)[0]
+    for values, gradient in zip((bias, linear, factors), got, strict=True):
+        for at in np.ndindex(values.shape):
+            old, ends = values[at], []
+            for step in (1e-6, -1e-6):
+                values[at] = old + step
+                ends.append(loss())
+            values[at] = old
+            assert (ends[0] - ends[1]) / 2e-6 == pytest.approx(np.asarray(gradient).reshape(values.shape)[at], abs=1e-6)
+
+
+def test_machine_learns_a_pair():
+    """Either term alone is harmless as often as not; both together are toxic."""
+    rng = np.random.default_rng(3)
+    a, b = rng.random(4000) < 0.5, rng.random(4000) < 0.5
+    rows = [np.flatnonzero([x, z, *(rng.random(4) < 0.5)]) for x, z in zip(a, b, strict=True)]
+    toxic = (a ^ b).astype(int)
+    machine = toxicity.FactorizationMachine(np.arange(6), *toxicity.fit_weights(rows, toxic, 6))
+    assert ((machine.scores(rows) >= 0.5) == toxic).mean() > 0.99
+
+
+def test_kept_columns_that_clash(spark):
+    docs, labels = small_corpus(spark)
+    docs = docs.withColumns({"score": F.lit("x"), "log_weight": F.lit("x"), "gumbel_key": F.lit("x"), "__text": F.lit("x")})
+    rows = toxicity.classify(docs, labels, keep=["doc_id", "label", "score", "__text"])
+    assert rows.columns == ["doc_id", "label", "__text", "score"] and rows.count() == docs.count()
+    drawn = resample.resample(docs, labels, keep=["label", "text", "log_weight", "gumbel_key", "__text"])
+    assert drawn.columns == ["label", "text", "__text", "log_weight", "gumbel_key"] and drawn.count() >= 225
+
+
+def test_resampling_equals_brute_force(spark):
+    docs, labels = small_corpus(spark)
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
+    hasher = resample.Hasher()
+
+    def counted(texts):
+        out = {}
+        for t in texts:
+            for g in hasher.grams(t).tolist():
+                out[g] = out.get(g, 0) + 1
+        return out
+
+    raw, target = counted(t for _, t in rows), counted(t for i, t in rows if i in good)
+    size = {False: resample.BUCKETS, True: resample.SHAPES}
+    total = {(m, part): sum(n for g, n in c.items() if (g >= resample.BUCKETS) == part) + size[part] for m, c in (("t", target), ("r", raw)) for part in size}
+    ratio = lambda g: np.log((target.get(g, 0) + 1) / total["t", g >= resample.BUCKETS]) - np.log((raw.get(g, 0) + 1) / total["r", g >= resample.BUCKETS])
+    want = sorted((i, round(sum(map(ratio, hasher.grams(t).tolist())), 6)) for i, t in rows)
+    every = resample.resample(docs, labels, share=1.0).collect()
+    assert sorted((r["doc_id"], round(r["log_weight"], 6)) for r in every) == want
+    keys = sorted((r["gumbel_key"] for r in every), reverse=True)
+    half = resample.resample(docs, labels, share=0.5).collect()
+    assert sorted((r["gumbel_key"] for r in half), reverse=True) == [k for k in keys if k >= keys[-(-len(keys) // 2) - 1]]
+
+
+def test_parting_costs_least():
+    rng = np.random.default_rng(6)
+    w, good = rng.normal(size=60), rng.random(60) < 0.5
+    cost = lambda cut: (5 * (good & (w < cut)) + (~good & (w >= cut))).sum()
+    assert cost(resample.parting(w, good.astype(int))) == min(map(cost, [-np.inf, *(np.sort(w) + 1e-9)]))
