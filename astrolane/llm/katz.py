@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from .common import discard, partitions, release, staged, text_or_empty
 from .jaccard import WordHashes
 
-BATCH_TOKENS = 1_500_000
-PART_KEYS = 1_500_000
+BATCH_TOKENS = 1_000_000
+PART_KEYS = 800_000
 GT_LIMIT = 5
-ROUNDS = 2
+ROUNDS = 4
 END = np.uint64(xxhash.xxh3_64_intdigest(b"end\n"))  # words hold no line feeds
 START = np.uint64(xxhash.xxh3_64_intdigest(b"start\n"))
 
