@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     left = staged(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     moves: list[DataFrame] = []
     spent: list[DataFrame] = []
-    while not left.isEmpty():
+    while left.count():  # read from the footers of the files just written
         both = left.union(left.select("b", "a")).toDF("node", "other")
         best = both.groupBy("node").agg(F.min(F.struct(F.xxhash64("other").alias("h"), F.col("other").alias("to"))).alias("best"))
         own = F.struct(key.alias("h"), F.col("node").alias("to"))

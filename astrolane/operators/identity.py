@@ -73,6 +73,8 @@ class IdentityQuery:
     def _uids(self, values: Iterable[int] | DataFrame) -> DataFrame:
         if isinstance(values, DataFrame):
             return values.select("uid").distinct()
+        if isinstance(values, range):
+            return self.index.rows.sparkSession.range(values.start, values.stop, values.step).toDF("uid")
         return self.index.rows.sparkSession.createDataFrame([(int(v),) for v in sorted(set(values))], "uid long")
 
     def from_id(self, uid: int) -> DataFrame:
@@ -117,9 +119,9 @@ class IdentityQuery:
         return self.partial_for(uids, every, names)
 
     def iter_partial(self, uids: Iterable[int], columns: list[str], batch_size: int, datasets: Iterable[str] | None = None) -> Iterator[DataFrame]:
-        """One lazy DataFrame for each batch of the given uids, in their order."""
+        """One lazy DataFrame for each batch of the given uids, in their order.  A range is never listed."""
         if batch_size <= 0:
             raise ValueError("batch_size must be positive")
-        asked = list(uids)
+        asked = uids if isinstance(uids, range) else list(uids)
         for at in range(0, len(asked), batch_size):
             yield self.partial_for(asked[at : at + batch_size], columns, datasets)

@@ -4,46 +4,64 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import sphere
-from ..plans.staging import staged
+from ..plans.staging import discard, staged
 from .components import connected_components
 
 Z_TYPES = ("spec", "phot", "pv", "none")
 
 
+#: Cells are at least this many tolerances high and wide, so that few rows lie near a border.
+CELL_TOLERANCES = 8
+
+
 def _grid(df: DataFrame, tol: float, prefix: str, spread: bool) -> DataFrame:
-    """Declination zones no lower than the tolerance, each cut into bins of right ascension no narrower than it.
+    """Declination zones, each cut into bins of right ascension.
 
-    spread: one row for the own bin and each neighbour, so that an equi-join on (zone, bin) meets each near pair once.
+    spread: a copy for each neighbouring zone and bin whose border is within the tolerance (about 1.6 copies in all),
+    so that an equi-join on (zone, bin) meets each near pair once.  Only numbers and literals are exploded, hence
+    the cells are computed once a row.
     """
-    height = max(tol * 1.0001, 0.002)
-    zone = F.floor(F.col(f"{prefix}dec") / height).cast("long")
+    height = max(CELL_TOLERANCES * tol, 0.002)
+    reach = tol * 1.0001 + 1e-12
+    dec = F.col(f"{prefix}dec")
+    zone = F.floor(dec / height).cast("long")
     if spread:
-        df = df.withColumn("zone", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: zone + i)))
+        df = df.withColumn("__zone", zone)
+        near = F.array(F.col("__zone"), F.when(dec - F.col("__zone") * height <= reach, F.col("__zone") - 1), F.when((F.col("__zone") + 1) * height - dec <= reach, F.col("__zone") + 1))
+        df = df.withColumn("zone", F.explode(near)).where("zone is not null").drop("__zone")
     else:
         df = df.withColumn("zone", zone)
     z = F.col("zone")
     polar = F.least(F.lit(89.9999999), F.greatest(F.abs(z * height - height), F.abs((z + 2) * height)))
-    width = 2 * F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(tol / 2))) / F.cos(F.radians(polar)))))
-    bins = F.floor(360.0 / F.greatest(width, F.lit(1e-9))).cast("long")
-    bins = F.when(bins < 3, F.lit(1).cast("long")).otherwise(bins)
-    own = F.least(bins - 1, F.floor(F.pmod(F.col(f"{prefix}ra"), F.lit(360.0)) / 360.0 * bins).cast("long"))
+    df = df.withColumn("__width", 2 * F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(reach / 2))) / F.cos(F.radians(polar))))))
+    bins = F.floor(360.0 / (CELL_TOLERANCES * F.greatest("__width", F.lit(1e-9)))).cast("long")
+    df = df.withColumn("__bins", F.when(bins < 3, F.lit(1).cast("long")).otherwise(bins))
+    df = df.withColumn("__at", F.pmod(F.col(f"{prefix}ra"), F.lit(360.0)) / 360.0 * F.col("__bins"))
+    df = df.withColumn("__own", F.least(F.col("__bins") - 1, F.floor("__at").cast("long")))
     if spread:
-        return df.withColumn("bin", F.explode(F.array_distinct(F.array(*[F.pmod(own + i, bins) for i in (-1, 0, 1)]))))
-    return df.withColumn("bin", own)
+        edge = F.col("__width") / 360.0 * F.col("__bins") * 1.0001 + 1e-9
+        several = F.col("__bins") > 1
+        near = F.array(F.col("__own"), F.when(several & (F.col("__at") - F.col("__own") <= edge), F.pmod(F.col("__own") - 1, F.col("__bins"))), F.when(several & (F.col("__own") + 1 - F.col("__at") <= edge), F.pmod(F.col("__own") + 1, F.col("__bins"))))
+        df = df.withColumn("bin", F.explode(near)).where("bin is not null")
+    else:
+        df = df.withColumn("bin", F.col("__own"))
+    return df.drop("__width", "__bins", "__at", "__own")
 
 
 def spherical_join(left: DataFrame, right: DataFrame, tol_arcsec: float, condition: Column | None = None) -> DataFrame:
     """All pairs within the tolerance: left's columns with prefix l_, right's with r_, and sep_arcsec.
 
-    Both sides need ra and dec; rows without finite ones match nothing.  The join is a hash or sort-merge join on
-    grid cells, which adaptive execution can split where the sky is dense.  condition: over the prefixed columns.
+    Both sides need ra and dec; rows without finite ones match nothing.  The join is a sort-merge join on grid cells,
+    which adaptive execution can split where the sky is dense; nothing is broadcast, whatever the sizes of the
+    catalogs.  The smaller side belongs on the right.  condition: over the prefixed columns.
     """
     if not tol_arcsec > 0:
         raise ValueError("the tolerance must be positive")
@@ -51,9 +69,9 @@ def spherical_join(left: DataFrame, right: DataFrame, tol_arcsec: float, conditi
     sides = []
     for df, prefix, spread in ((left, "l_", False), (right, "r_", True)):
         placed = df.where(sphere.finite(F.col("ra")) & sphere.finite(F.col("dec")))
-        named = placed.select(*[F.col(f"`{c}`").alias(prefix + c) for c in df.columns])
-        sides.append(_grid(named.withColumns({prefix + c: F.col(prefix + c).cast("double") for c in ("ra", "dec")}), tol, prefix, spread))
-    near = sides[0].join(sides[1], ["zone", "bin"])
+        named = placed.select(*[(F.col(f"`{c}`").cast("double") if c in ("ra", "dec") else F.col(f"`{c}`")).alias(prefix + c) for c in df.columns])
+        sides.append(_grid(named, tol, prefix, spread))
+    near = sides[0].join(sides[1].hint("merge"), ["zone", "bin"])
     if condition is not None:
         near = near.where(condition)
     sep = sphere.haversine("l_ra", "l_dec", "r_ra", "r_dec")
@@ -115,6 +133,7 @@ class MatchRules:
 def stacked(catalogs: Mapping[str, DataFrame], z_types: Mapping[str, str] | None = None) -> DataFrame:
     """dataset, row_index, ra, dec, z, z_type of all catalogs; the type is the row's own, the survey's, or none."""
     out = None
+    whole = all("row_index" not in df.columns or isinstance(df.schema["row_index"].dataType, T.IntegralType) for df in catalogs.values())
     for name in sorted(catalogs):
         df = catalogs[name]
         for c in ("row_index", "ra", "dec"):
@@ -122,15 +141,19 @@ def stacked(catalogs: Mapping[str, DataFrame], z_types: Mapping[str, str] | None
                 raise KeyError(c)
         z = F.col("z").cast("double") if "z" in df.columns else F.lit(None).cast("double")
         own = F.col("z_type").cast("string") if "z_type" in df.columns else F.lit(None).cast("string")
-        part = df.select(F.lit(name).alias("dataset"), F.col("row_index").cast("long").alias("row_index"), F.col("ra").cast("double").alias("ra"), F.col("dec").cast("double").alias("dec"), F.when(~F.isnan(z), z).alias("z"), F.coalesce(own, F.lit((z_types or {}).get(name)), F.lit("none")).alias("z_type"))
+        part = df.select(F.lit(name).alias("dataset"), F.col("row_index").cast("long" if whole else "string").alias("row_index"), F.col("ra").cast("double").alias("ra"), F.col("dec").cast("double").alias("dec"), F.when(~F.isnan(z), z).alias("z"), F.coalesce(own, F.lit((z_types or {}).get(name)), F.lit("none")).alias("z_type"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def matched_pairs(rows: DataFrame, rules: MatchRules) -> DataFrame:
-    """Pairs of rows of different datasets that the rules accept, each once, the smaller (dataset, row) on the left."""
+def matched_pairs(rows: DataFrame, rules: MatchRules, names: Sequence[str] | None = None) -> DataFrame:
+    """Pairs of rows of different datasets that the rules accept, each once, the smaller dataset on the left.
+
+    names: all datasets, if they are known; the last one is then never read on the left, nor the first on the right.
+    """
     condition = (F.col("l_dataset") < F.col("r_dataset")) & rules.accepts(F.col("l_z_type"), F.col("r_z_type"), F.col("l_z"), F.col("r_z"))
-    return spherical_join(rows, rows, rules.sky_tol_arcsec, condition)
+    left, right = (rows.where(F.col("dataset") != max(names)), rows.where(F.col("dataset") != min(names))) if names else (rows, rows)
+    return spherical_join(left, right, rules.sky_tol_arcsec, condition)
 
 
 @dataclass
@@ -170,19 +193,16 @@ def dense_ids(keys: DataFrame, order: list[str], name: str) -> DataFrame:
 def cross_match(catalogs: Mapping[str, DataFrame], rules: MatchRules = MatchRules(), z_types: Mapping[str, str] | None = None) -> MatchResult:
     """Universal ids over all catalogs: rows that accepted pairs connect, directly or through others, share a uid.
 
-    uids are 0 .. n-1 in the order of each object's smallest (dataset, row_index).  No catalogs: no rows.
+    uids are 0 .. n-1 in the order of each object's smallest (dataset, row_index).  row_index may be any integer, or a
+    string (then the result's is one).  No catalogs: no rows.
     """
     if not catalogs:
         spark = SparkSession.getActiveSession()
         return MatchResult(spark.createDataFrame([], "uid long, dataset string, row_index long, ra double, dec double, z double, z_type string"), rules)
-    names = sorted(catalogs)
-    width = 1 << 48  # a node is dataset number * width + row_index
-    number = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
-    node = lambda dataset, row: (F.element_at(number, dataset).cast("long") * width + row).cast("long")
-    rows = stacked(catalogs, z_types).withColumn("node", node(F.col("dataset"), F.col("row_index")))
-    edges = matched_pairs(rows, rules).select(F.col("l_node").alias("a"), F.col("r_node").alias("b"))
+    rows = staged(dense_ids(stacked(catalogs, z_types), ["dataset", "row_index", "ra", "dec", "z"], "node"), "stacked")
+    edges = matched_pairs(rows, rules, sorted(catalogs)).select(F.col("l_node").alias("a"), F.col("r_node").alias("b"))
     parts = connected_components(edges)
-    labelled = rows.join(parts, "node", "left").withColumn("first", F.coalesce("component", "node")).drop("component")
-    labelled = staged(labelled, "labelled")
-    ids = dense_ids(labelled.select("first").distinct(), ["first"], "uid")
+    labelled = staged(rows.join(parts, "node", "left").withColumn("first", F.coalesce("component", "node")).drop("component"), "labelled")
+    discard(rows)
+    ids = dense_ids(labelled.where("node = first").select("first"), ["first"], "uid")
     return MatchResult(labelled.join(ids, "first").select("uid", "dataset", "row_index", "ra", "dec", "z", "z_type"), rules)

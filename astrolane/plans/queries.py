@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,11 @@ from ..operators.links import LinkRules, LinkSet, first_rows, link
 from ..operators.match import MatchRules, cross_match, dense_ids, matched_pairs, spherical_join, stacked
 from ..operators.selection import Cone, Shell, SkyPatch, in_range, selected
 from ..sources import ingest
+from ..sources.database import Database
+from ..sources.manifest import Manifest, write_manifest
 from ..sources.scan import DatasetView
+from ..sources.schema import Geometry
+from ..sources.validity import Validity
 from .staging import scratch_path, staged
 
 TOL, DZ = 1.0, 7.5e-4
@@ -35,6 +42,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ---- what is written once for a session ----
+
+_WRITTEN: dict[tuple, object] = {}
+
+
+def _folder(spark, tag: str) -> str:
+    """A folder that the driver opens by path: the scratch folder must be on a mounted file system."""
+    place = scratch_path(spark, tag)
+    if place.startswith("file:"):
+        return "/" + place[5:].lstrip("/")
+    if "://" in place:
+        raise ValueError(f"datasets are opened by path, which {place} does not allow")
+    return place
+
+
+def _once(spark, sf, tag: str, make):
+    """What make(folder) gives, made once for a session and a folder of tables."""
+    key = (spark.sparkContext.applicationId, sf, tag)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = make(_folder(spark, tag))
+    return _WRITTEN[key]
+
+
 # ---- derived catalogs: the same expressions in both dialects ----
 
 _A = """SELECT o_orderkey AS row_index, (o_orderkey * 7919 % 3600000) * 1e-4 AS ra, (o_orderkey * 104729 % 1200000) * 1e-4 - 60e0 AS dec,
@@ -43,7 +73,7 @@ _A = """SELECT o_orderkey AS row_index, (o_orderkey * 7919 % 3600000) * 1e-4 AS
 _B = """(l_orderkey * 7919 % 3600000) * 1e-4 + (l_partkey % 11 - 5) * 1e-4 AS ra, (l_orderkey * 104729 % 1200000) * 1e-4 - 60e0 + (l_suppkey % 7 - 3) * 1e-4 AS dec,
  (l_orderkey % 4000) * 1e-4 + 1e-2 + (l_partkey % 5 - 2) * 5e-4 AS z, CASE l_returnflag WHEN 'A' THEN 'spec' WHEN 'N' THEN 'phot' ELSE 'pv' END AS z_type,
  l_extendedprice AS value, 1e0 + l_quantity AS variance, l_orderkey AS object_key"""
-_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag"]
 
 
 def cat_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,25 +82,28 @@ def cat_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cat_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = _table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(*_ORDER, "l_returnflag")
-    return dense_ids(first, _ORDER, "row_index").selectExpr("row_index", *[x.strip() for x in _split(_B)])
+    """Every line, numbered in an order of its columns; numbered once for a session, as ingestion would."""
+    numbered = _once(spark, sf_dir, "lines", lambda _: staged(dense_ids(_table(spark, sf_dir, "lineitem").select(*_ORDER), _ORDER, "row_index"), "lines"))
+    return spark.sql(f"SELECT row_index, {_B} FROM {{rows}}", rows=numbered)
 
 
-def _split(text: str) -> list[str]:
-    """A select list at its top-level commas."""
-    out, depth, part = [], 0, ""
-    for c in text:
-        depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
-            out.append(part)
-            part = ""
-        else:
-            part += c
-    return [*out, part]
+A = "(" + _A.format(days="date_diff('day', DATE '1858-11-17', CAST(o_orderdate AS DATE))", orders="orders") + ")"
+B = f"(SELECT row_number() OVER (ORDER BY {', '.join(_ORDER)}) - 1 AS row_index, {_B} FROM lineitem)"
 
 
-A = "(" + _A.format(days="date_diff('day', DATE '1858-11-17', CAST(o_orderdate AS DATE))", orders="orders") + ")"
-B = f"(SELECT row_number() OVER (ORDER BY {', '.join(_ORDER)}) - 1 AS row_index, {_B} FROM lineitem WHERE l_linenumber = 1)"
+def _pixel(nside: int, ra: str = "ra", dec: str = "dec") -> str:
+    """The nested HEALPix pixel in SQL, from the published equations of the pixelisation."""
+    z, t = f"sin(radians({dec}))", f"({ra} / 90e0)"
+    up, down = f"CAST(floor({nside} * (5e-1 + {t}) - {nside} * {z} * 75e-2) AS BIGINT)", f"CAST(floor({nside} * (5e-1 + {t}) + {nside} * {z} * 75e-2) AS BIGINT)"
+    quarter, cap = f"CAST(least(3, floor({t})) AS BIGINT)", f"{nside} * sqrt(3 * (1 - abs({z})))"
+    jp, jm = f"CAST(least({nside - 1}, floor(({t} - {quarter}) * {cap})) AS BIGINT)", f"CAST(least({nside - 1}, floor((1 - {t} + {quarter}) * {cap})) AS BIGINT)"
+    belt = f"abs({z}) <= 2e0 / 3"
+    fp, fm = f"(({up}) // {nside})", f"(({down}) // {nside})"
+    face = f"CASE WHEN {belt} THEN CASE WHEN {fp} = {fm} THEN {fp} % 4 + 4 WHEN {fp} < {fm} THEN {fp} % 4 ELSE {fm} % 4 + 8 END WHEN {z} >= 0 THEN {quarter} ELSE {quarter} + 8 END"
+    x = f"(CASE WHEN {belt} THEN {down} % {nside} WHEN {z} >= 0 THEN {nside - 1} - {jm} ELSE {jp} END)"
+    y = f"(CASE WHEN {belt} THEN {nside - 1} - {up} % {nside} WHEN {z} >= 0 THEN {nside - 1} - {jp} ELSE {jm} END)"
+    bits = " + ".join(f"({x} // {1 << i} % 2) * {1 << 2 * i} + ({y} // {1 << i} % 2) * {2 << 2 * i}" for i in range(nside.bit_length() - 1))
+    return f"(({face}) * {nside * nside} + {bits})"
 
 
 def _sep(a: str, b: str) -> str:
@@ -124,10 +157,13 @@ def time_range_scan(spark, sf):
 
 def _dataset(spark, sf) -> DatasetView:
     """Catalog A written as a partitioned dataset."""
-    place = scratch_path(spark, "dataset").removeprefix("file://").removeprefix("file:")
-    rows = cat_a(spark, sf).withColumn("_original_row_index", F.col("row_index")).withColumn("z_err", F.lit(1e-4).cast("float"))
-    ingest.write_dataset(rows, place, "cat_a", "spectroscopic", nside=4)
-    return DatasetView.open(spark, place)
+
+    def make(place):
+        rows = cat_a(spark, sf).withColumn("_original_row_index", F.col("row_index")).withColumn("z_err", F.lit(1e-4).cast("float"))
+        ingest.write_dataset(rows, place, "cat_a", "spectroscopic", nside=4)
+        return DatasetView.open(spark, place)
+
+    return _once(spark, sf, "dataset", make)
 
 
 @query(f"{_AC} {A} a WHERE {_cone(180, 0, 20)} AND z BETWEEN 1e-2 AND 2e-1")
@@ -140,10 +176,13 @@ def partitioned_patch_scan(spark, sf):
     return _dataset(spark, sf).scan(["row_index", "ra", "dec", "z"], "value < 200000", skypatch=SkyPatch(340.0, 20.0, -50.0, -20.0), t_range=(49000.0, None))
 
 
-@query()
+_CELLS = [0, 1, 20, 21, 100]
+
+
+@query(f"SELECT {_pixel(4)} AS cell, row_index FROM {A} a WHERE {_pixel(4)} IN ({', '.join(map(str, _CELLS))})")
 def cell_filter_scan(spark, sf):
-    cells = [0, 1, 20, 21, 100]
-    return cat_a(spark, sf).withColumn("cell", sphere.healpix_nest("ra", "dec", 4)).where(F.col("cell").isin(cells)).select("cell", "row_index")
+    rows = _dataset(spark, sf).scan(healpix_cells=_CELLS)
+    return rows.select(sphere.healpix_nest("ra", "dec", 4).cast("long").alias("cell"), "row_index")
 
 
 @query(f"SELECT count(*) AS n_rows FROM {A} a")
@@ -151,11 +190,11 @@ def manifest_counts(spark, sf):
     return spark.createDataFrame([(_dataset(spark, sf).n_rows,)], "n_rows long")
 
 
-@query(f"SELECT CAST(floor(dec / 10) AS BIGINT) AS zone, count(*) AS n_rows, min(ra) AS ra_min, max(ra) AS ra_max, min(dec) AS dec_min, max(dec) AS dec_max, min(z) AS z_min, max(z) AS z_max, min(t_obs) AS t_min, max(t_obs) AS t_max FROM {A} a GROUP BY 1")
+@query(f"SELECT {_pixel(4)} AS cell, count(*) AS n_rows, min(ra) AS ra_min, max(ra) AS ra_max, min(dec) AS dec_min, max(dec) AS dec_max, min(z) AS z_min, max(z) AS z_max, min(t_obs) AS t_min, max(t_obs) AS t_max FROM {A} a GROUP BY 1")
 def partition_stats(spark, sf):
-    zone = F.floor(F.col("dec") / 10).cast("long").alias("zone")
-    pairs = [f(c).alias(f"{n}_{s}") for c, n in (("ra", "ra"), ("dec", "dec"), ("z", "z"), ("t_obs", "t")) for f, s in ((F.min, "min"), (F.max, "max"))]
-    return cat_a(spark, sf).groupBy(zone).agg(F.count(F.lit(1)).alias("n_rows"), *pairs)
+    """The statistics that writing the dataset left in its manifest."""
+    rows = [(p.healpix_cell, p.n_rows, *[float(v) for n in ("ra", "dec", "z", "t") for v in p.stats[n]]) for p in _dataset(spark, sf).manifest.partitions]
+    return spark.createDataFrame(rows, "cell long, n_rows long, " + ", ".join(f"{n}_{e} double" for n in ("ra", "dec", "z", "t") for e in ("min", "max")))
 
 
 @query(f"SELECT row_index, round(cos(radians(dec)) * cos(radians(ra)), 9) AS x, round(cos(radians(dec)) * sin(radians(ra)), 9) AS y, round(sin(radians(dec)), 9) AS w FROM {A} a")
@@ -266,7 +305,7 @@ def _both(spark, sf):
 
 
 def _pairs(spark, sf, rules, catalogs=None):
-    p = matched_pairs(stacked(catalogs or _both(spark, sf)), rules)
+    p = matched_pairs(stacked(catalogs or _both(spark, sf)), rules, ["a", "b"])
     return p.select(F.col("l_row_index").alias("row_a"), F.col("r_row_index").alias("row_b"), F.round("sep_arcsec", 6).alias("sep"))
 
 
@@ -309,18 +348,28 @@ _IDS = f"""WITH RECURSIVE pair AS MATERIALIZED ({_PAIR} AND abs(a.z - b.z) <= {D
  multi AS (SELECT uid FROM idx GROUP BY uid HAVING count(DISTINCT dataset) > 1) """
 
 
-def _index(spark, sf) -> IdentityIndex:
+def _built(spark, sf) -> IdentityIndex:
     rules = MatchRules(TOL, DZ)
     return IdentityIndex(cross_match(_both(spark, sf), rules).rows.withColumn("survey_type", F.lit("spectroscopic")), rules)
 
 
+def _index(spark, sf) -> IdentityIndex:
+    """The index as it is used: built once, stored, and asked many times."""
+
+    def make(_):
+        index = _built(spark, sf)
+        return replace(index, rows=staged(index.rows, "identity"))
+
+    return _once(spark, sf, "identity", make)
+
+
 def _attributes(spark, sf):
     return {n: df.select("row_index", "ra", "value", *(["t_obs"] if n == "a" else ["variance"])) for n, df in _both(spark, sf).items()}
 
 
 @query(_IDS + "SELECT uid, dataset, row_index FROM idx")
 def identity_index(spark, sf):
-    return _index(spark, sf).rows.select("uid", "dataset", "row_index")
+    return _built(spark, sf).rows.select("uid", "dataset", "row_index")
 
 
 @query(_IDS + "SELECT count(DISTINCT uid) AS n_unique, (SELECT count(*) FROM multi) AS n_multi FROM idx")
@@ -349,9 +398,9 @@ def select_ids(spark, sf):
     return IdentityQuery(_index(spark, sf)).from_ids([0, 5, 17, 99999999])
 
 
-@query(_IDS + "SELECT DISTINCT uid FROM idx WHERE dataset = 'b' AND row_index < 200")
+@query(_IDS + "SELECT DISTINCT uid FROM idx WHERE dataset = 'b'")
 def foreign_ids(spark, sf):
-    return IdentityQuery(_index(spark, sf)).from_foreign_ids("b", spark.range(200).withColumnRenamed("id", "row_index"))
+    return IdentityQuery(_index(spark, sf)).from_foreign_ids("b", cat_b(spark, sf).select("row_index"))
 
 
 _PICK = f"SELECT DISTINCT uid FROM idx a WHERE {_cone(180, 0, 20)} AND z BETWEEN 5e-2 AND 3e-1"
@@ -385,11 +434,11 @@ def full_for(spark, sf):
     return q.full_for(uids).select("uid", "dataset", "row_index", "ra", "value", "t_obs", "variance")
 
 
-@query(_IDS + "SELECT uid, dataset, row_index, value FROM idx WHERE uid BETWEEN 10 AND 29")
+@query(_IDS + "SELECT uid, dataset, row_index, value FROM idx")
 def iter_partial(spark, sf):
     q = IdentityQuery(_index(spark, sf), _attributes(spark, sf))
-    out = None
-    for part in q.iter_partial(range(10, 30), ["value"], 8):
+    n, out = q.index.rows.agg(F.max("uid")).first()[0] + 1, None
+    for part in q.iter_partial(range(n), ["value"], -(-n // 3)):
         part = part.select("uid", "dataset", "row_index", "value")
         out = part if out is None else out.unionByName(part)
     return out
@@ -418,14 +467,14 @@ def dz_quantiles(spark, sf):
 
 # ---- links ----
 
-_LINK = f"SELECT a.row_index AS parent, b.row_index AS child, {_sep('a', 'b')} * 3600 AS sep, a.z - b.z AS dz, count(*) OVER (PARTITION BY b.row_index) AS n FROM {A} a JOIN {B} b ON b.dec BETWEEN a.dec - 1e-3 AND a.dec + 1e-3 WHERE {_sep('a', 'b')} * 3600 <= 2e0 AND abs(a.z - b.z) <= {DZ}"
+_LINK = f"SELECT b.row_index AS parent, a.row_index AS child, {_sep('a', 'b')} * 3600 AS sep, b.z - a.z AS dz, count(*) OVER (PARTITION BY a.row_index) AS n FROM {A} a JOIN {B} b ON b.dec BETWEEN a.dec - 1e-3 AND a.dec + 1e-3 WHERE {_sep('a', 'b')} * 3600 <= 2e0 AND abs(a.z - b.z) <= {DZ}"
 _LINKED = "SELECT parent, child, round(CAST(1e0 / n AS FLOAT), 4) AS confidence, round(CAST(sep AS FLOAT), 4) AS sep, round(CAST(dz AS FLOAT), 6) AS dz FROM"
 
 
 def _links(spark, sf, ambiguous: bool) -> DataFrame:
     side = lambda df, name: df.select(F.lit(name).alias("dataset"), F.col("row_index").alias("uid"), "ra", "dec", "z")
-    rules = LinkRules("a", "b", 2.0, DZ, accept_ambiguous=ambiguous)
-    return link(side(cat_a(spark, sf), "a"), side(cat_b(spark, sf), "b"), rules)
+    rules = LinkRules("b", "a", 2.0, DZ, accept_ambiguous=ambiguous)
+    return link(side(cat_b(spark, sf), "b"), side(cat_a(spark, sf), "a"), rules)
 
 
 def _link_columns(df):
@@ -446,14 +495,14 @@ def sub_links_ambiguous(spark, sf):
 def children_of(spark, sf):
     rows = staged(_links(spark, sf, True), "links")
     parent = rows.agg(F.min("parent")).first()[0]
-    return spark.createDataFrame([(c,) for c in LinkSet(rows, LinkRules("a", "b")).children_of(parent)], "child long")
+    return spark.createDataFrame([(c,) for c in LinkSet(rows, LinkRules("b", "a")).children_of(parent)], "child long")
 
 
 @query(f"SELECT parent FROM ({_LINK}) WHERE child = (SELECT min(child) FROM ({_LINK}) WHERE n > 1)")
 def parent_of(spark, sf):
     rows = staged(_links(spark, sf, True), "links")
     child = rows.where("confidence < 1").agg(F.min("child")).first()[0]
-    found = LinkSet(rows, LinkRules("a", "b")).parent_of(child) if child is not None else []
+    found = LinkSet(rows, LinkRules("b", "a")).parent_of(child) if child is not None else []
     return spark.createDataFrame([(p,) for p in (found if isinstance(found, list) else [found])], "parent long")
 
 
@@ -475,26 +524,36 @@ def lightcurve_objects(spark, sf):
     return ingest.epoch_statistics(objects, epochs).select("object_id", F.col("n_epochs").cast("long").alias("n_epochs"), "mjd_min", "mjd_max")
 
 
-@query("SELECT DISTINCT user_id AS object_id FROM events WHERE user_id % 10 = 3")
+@query("SELECT DISTINCT user_id AS object_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders)")
 def lightcurve_orphans(spark, sf):
-    objects, epochs = _light_curves(spark, sf)
-    return ingest.orphan_epochs(objects.where("object_id % 10 <> 3"), epochs)
+    _, epochs = _light_curves(spark, sf)
+    return ingest.orphan_epochs(_table(spark, sf, "orders").select(F.col("o_custkey").alias("object_id")), epochs)
 
 
 @query("SELECT vec_id AS sightline_id, label, count(*) AS n_pixels, round(sum(d * w) / sum(w), 6) AS mean_delta FROM (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS d, 1e0 + (generate_subscripts(embedding, 1) - 1) % 5 AS w FROM embeddings) GROUP BY ALL")
 def sightline_join(spark, sf):
-    source = _table(spark, sf, "embeddings")
-    objects = source.select(F.col("vec_id").alias("sightline_id"), "label")
-    data = source.select(F.col("vec_id").alias("sightline_id"), F.posexplode("embedding").alias("pos", "d")).select("sightline_id", F.col("d").cast("double").alias("d"), (1.0 + F.col("pos") % 5).alias("w"))
-    joined = data.join(objects, "sightline_id").groupBy("sightline_id", "label")
-    return joined.agg(F.count(F.lit(1)).alias("n_pixels"), F.round(F.sum(F.col("d") * F.col("w")) / F.sum("w"), 6).alias("mean_delta"))
+    def make(place):
+        source = _table(spark, sf, "embeddings")
+        objects = source.selectExpr("vec_id AS sightline_id", "label", "vec_id * 7919 % 3600 / 10e0 AS ra", "vec_id * 104729 % 1200 / 10e0 - 60e0 AS dec", "2e0 AS z_source", "'e' AS survey_id", "size(embedding) AS n_pixels")
+        data = source.select(F.col("vec_id").alias("sightline_id"), F.posexplode("embedding").alias("pos", "d")).select("sightline_id", (3.55 + F.col("pos") * 1e-4).alias("loglam"), F.col("d").cast("double").alias("delta"), (1.0 + F.col("pos") % 5).alias("weight"))
+        ingest.write_sightlines(objects, data, place, "sightlines")
+        return DatasetView.open(spark, place)
 
+    view = _once(spark, sf, "sightlines", make)
+    joined = view.scan(["sightline_id", "delta", "weight"]).join(view.objects(["sightline_id", "label"]), "sightline_id").groupBy("sightline_id", "label")
+    return joined.agg(F.count(F.lit(1)).alias("n_pixels"), F.round(F.sum(F.col("delta") * F.col("weight")) / F.sum("weight"), 6).alias("mean_delta"))
 
-@query(f"SELECT row_index, p_retailprice AS map_value FROM {A} a JOIN part ON p_partkey = row_index % (SELECT count(*) FROM part)")
+
+@query(f"SELECT row_index, p_retailprice AS map_value FROM {A} a JOIN part ON p_partkey = 1 + {_pixel(4)}")
 def healpix_map_lookup(spark, sf):
-    sky_map = _table(spark, sf, "part").select(F.col("p_partkey").alias("healpix_index"), F.col("p_retailprice").alias("map_value"))
-    n = sky_map.count()
-    return cat_a(spark, sf).withColumn("healpix_index", F.col("row_index") % n).join(sky_map, "healpix_index").select("row_index", "map_value")
+    def make(place):
+        data = _table(spark, sf, "part").where("p_partkey BETWEEN 1 AND 192").select((F.col("p_partkey") - 1).cast("long").alias("healpix_index"), F.col("p_retailprice").cast("double").alias("value"))
+        ingest.write_sky_map(data, place, "part_map", nside=4)
+        return DatasetView.open(spark, place)
+
+    sky_map = _once(spark, sf, "sky-map", make).scan(["healpix_index", F.col("value").alias("map_value")])
+    placed = cat_a(spark, sf).select("row_index", sphere.healpix_nest("ra", "dec", 4).alias("healpix_index"))
+    return placed.join(sky_map, "healpix_index").select("row_index", "map_value")
 
 
 @query(f"SELECT row_index, round(CAST(22.5e0 - 2.5e0 * log10(value) AS FLOAT), 3) AS mag FROM {A} a")
@@ -533,30 +592,58 @@ def outer_union(spark, sf):
 
 # ---- versions ----
 
-_V = "(SELECT n_nationkey AS id, n_regionkey AS region, n_nationkey AS valid_from, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS valid_to FROM nation)"
+_DAY = "strftime(DATE '2020-01-01' + CAST(n_nationkey AS INTEGER), '%Y-%m-%d')"
+_V = f"(SELECT n_name AS id, n_regionkey AS region, {_DAY} AS valid_from, lead({_DAY}) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS valid_to FROM nation)"
 
 
-def _versions(spark, sf):
-    """Every nation is a version of its region: valid from a month until the region's next one begins."""
-    rows = _table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("valid_from"))
-    later = rows.select(F.col("region"), F.col("valid_from").alias("next"))
-    closed = rows.join(later, "region", "left").groupBy("id", "region", "valid_from").agg(F.min(F.when(F.col("next") > F.col("valid_from"), F.col("next"))).alias("valid_to"))
-    return closed
+def _database(spark, sf) -> Database:
+    """Every nation is a version of its region's dataset, valid from a day until the region's next one begins."""
 
+    def make(place):
+        last: dict[int, str] = {}
+        for r in _table(spark, sf, "nation").orderBy("n_nationkey").collect():
+            name, region = r["n_name"].lower().replace(" ", "-"), r["n_regionkey"]
+            began = (date(2020, 1, 1) + timedelta(days=r["n_nationkey"])).isoformat() + "T00:00:00+00:00"
+            validity = Validity(began, supersedes=last.get(region))
+            write_manifest(f"{place}/r{region}/{name}", Manifest(Geometry.POINT, r["n_name"], f"r{region}", began, (), validity=validity, partitioning={}))
+            last[region] = f"r{region}_{name}"
+        return place
 
-@query(f"SELECT id, region FROM {_V} WHERE valid_from <= 12 AND (valid_to IS NULL OR 12 < valid_to)")
+    return Database(spark, _once(spark, sf, "versions", make))
+
+
+def _version_rows(spark, entries) -> DataFrame:
+    rows = [(e.manifest.survey_name, int(e.manifest.survey_type[1:]), e.manifest.validity.valid_from_utc[:10], e.manifest.validity.valid_to_utc and e.manifest.validity.valid_to_utc[:10]) for e in entries]
+    return spark.createDataFrame(rows, "id string, region long, valid_from string, valid_to string")
+
+
+@query(f"SELECT id, region FROM {_V} WHERE valid_from <= '2020-01-13' AND (valid_to IS NULL OR '2020-01-13' < valid_to)")
 def as_of_snapshot(spark, sf):
-    return _versions(spark, sf).where("valid_from <= 12 AND (valid_to IS NULL OR 12 < valid_to)").select("id", "region")
+    db = _database(spark, sf).as_of("2020-01-13T12:00:00+00:00")
+    return _version_rows(spark, [db.entry(n) for n in db]).select("id", "region")
 
 
 @query(f"SELECT id, region, valid_from, valid_to FROM {_V}")
 def supersession_close(spark, sf):
-    return _versions(spark, sf)
+    return _version_rows(spark, _database(spark, sf).every.values())
 
 
 @query(f"SELECT id, region, valid_from FROM {_V} WHERE region = 2")
 def versions_sorted(spark, sf):
-    return _versions(spark, sf).where("region = 2").select("id", "region", "valid_from").orderBy(F.asc_nulls_first("valid_from"), "id")
+    return _version_rows(spark, _database(spark, sf).versions_of_root("r2")).select("id", "region", "valid_from")
+
+
+@query(f"SELECT id FROM {_V} WHERE valid_to IS NULL")
+def valid_now(spark, sf):
+    """What Database lists without an instant: the open versions."""
+    db = _database(spark, sf)
+    return _version_rows(spark, [db.entry(n) for n in db.list()]).select("id")
+
+
+@query(f"SELECT 'r' || region AS survey_type, count(*) AS n FROM {_V} WHERE valid_to IS NULL GROUP BY region")
+def survey_types(spark, sf):
+    db = _database(spark, sf)
+    return spark.createDataFrame([(t, len(db.list(t))) for t in db.types], "survey_type string, n long")
 
 
 @query()
