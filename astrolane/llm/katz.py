@@ -32,7 +32,7 @@ from .jaccard import WordHashes
 BATCH_TOKENS = 1_000_000
 PART_KEYS = 800_000
 GT_LIMIT = 5
-ROUNDS = 4
+ROUNDS = 2
 END = np.uint64(xxhash.xxh3_64_intdigest(b"end\n"))  # words hold no line feeds
 START = np.uint64(xxhash.xxh3_64_intdigest(b"start\n"))
 
@@ -233,31 +233,21 @@ def replies_in_order(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(counts), np.concatenate(owner)
 
 
-_STATE = "batch long, ids array<long>, train binary, sizes array<int>, words binary, tokens binary, word_counts binary, pair_counts binary, width int, keys binary, context_counts binary, seen binary, lower binary"
+_STATE = "batch long, ids array<long>, train binary, sizes array<int>, words binary, tokens binary, word_counts binary, pair_counts binary, owner binary"
 
 
-def with_counts(batches: DataFrame, replies: DataFrame, d: np.ndarray, totals: tuple[int, int]) -> DataFrame:
-    """Batches with the counts of their words and pairs, and their share of the sums of each context of one word (of
-    every pair, the first batch that holds it has the share)."""
-    n_train, vocabulary = totals
+def with_counts(batches: DataFrame, replies: DataFrame) -> DataFrame:
+    """Batches with the counts of their words and pairs, and which pairs they are to sum over."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = rows_of(left)[0]
         batch = Batch(row)
-        keys, context, word, _ = batch.pairs()
+        keys, *_ = batch.pairs()
         levels = right.column("level").to_numpy()
         c1, _ = replies_in_order(right.filter(pa.array(levels == 1)), len(batch.words))
         c2, owner = replies_in_order(right.filter(pa.array(levels == 2)), len(keys))
-        p1 = (c1 + 0.5) / (n_train + 0.5 * (vocabulary + 1))
-        mine = owner & (c2 > 0)
-        used = open_contexts(c1, c2, context)
-        used[context[mine]] = True
-        order = np.flatnonzero(used)
-        kept = d[np.minimum(c2, len(d) - 1)] * c2
-        sums = [np.bincount(context[mine], weights=w[mine], minlength=len(batch.words))[order] for w in (kept, p1[word])]
-        width, packed = packed_keys(batch.words[order])
-        out = row | {"word_counts": packed_counts(c1), "pair_counts": packed_counts(c2), "width": width, "keys": packed, "context_counts": packed_counts(c1[order]), "seen": sums[0].tobytes(), "lower": sums[1].tobytes()}
-        types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), *[pa.binary()] * 4, pa.int32(), *[pa.binary()] * 4]
+        out = row | {"word_counts": packed_counts(c1), "pair_counts": packed_counts(c2), "owner": np.packbits(owner).tobytes()}
+        types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), *[pa.binary()] * 5]
         return pa.Table.from_arrays([pa.array([out[f]], t) for f, t in zip(_FIELDS, types, strict=True)], names=_FIELDS)
 
     return batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(run, _STATE)
@@ -266,19 +256,34 @@ def with_counts(batches: DataFrame, replies: DataFrame, d: np.ndarray, totals: t
 _FIELDS = [f.split()[0] for f in _STATE.split(", ")]
 
 
-def open_contexts(c1: np.ndarray, c2: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """The words after which the batch meets words that were never seen there."""
+def used_contexts(c1: np.ndarray, c2: np.ndarray, owner: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The words after which the batch meets words that were never seen there, or whose pairs it is to sum over."""
     out = np.zeros(len(c1), bool)
     out[context[(c2 == 0) & (c1[context] > 0)]] = True
-    return out
+    out[context[owner & (c2 > 0)]] = True
+    return np.flatnonzero(out)
+
+
+def counts_of(row: dict, batch: Batch, n_pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    owner = np.unpackbits(np.frombuffer(row["owner"], np.uint8), count=n_pairs).astype(bool)
+    return unpacked_counts(len(batch.words), row["word_counts"]), unpacked_counts(n_pairs, row["pair_counts"]), owner
 
 
-def ask_backoff(states: DataFrame, parts: int) -> DataFrame:
+def ask_backoff(states: DataFrame, parts: int, d: np.ndarray, totals: tuple[int, int]) -> DataFrame:
+    """Of each context of one word that a batch uses, its count and the batch's share of its sums (of every pair, the
+    first batch that holds it has the share)."""
+    n_train, vocabulary = totals
+
     def run(tables):
         for table in tables:
             for row in rows_of(table):
-                keys = unpacked_keys(row["width"], row["keys"])
-                counts, seen, lower = unpacked_counts(len(keys), row["context_counts"]), np.frombuffer(row["seen"]), np.frombuffer(row["lower"])
+                batch = Batch(row)
+                pairs, context, word, _ = batch.pairs()
+                c1, c2, owner = counts_of(row, batch, len(pairs))
+                order, mine = used_contexts(c1, c2, owner, context), owner & (c2 > 0)
+                kept, p1 = d[np.minimum(c2, len(d) - 1)] * c2, (c1 + 0.5) / (n_train + 0.5 * (vocabulary + 1))
+                seen, lower = (np.bincount(context[mine], weights=w[mine], minlength=len(batch.words))[order] for w in (kept, p1[word]))
+                keys, counts = batch.words[order], c1[order]
                 borders, columns = split_keys(keys, parts), [[] for _ in range(7)]
                 for part in np.flatnonzero(np.diff(borders)).tolist():
                     mine = slice(borders[part], borders[part + 1])
@@ -286,7 +291,7 @@ def ask_backoff(states: DataFrame, parts: int) -> DataFrame:
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["part", "batch", "width", "keys", "counts", "seen", "lower"])
 
-    return states.select("batch", "width", "keys", "context_counts", "seen", "lower").mapInArrow(run, _ASK + ", seen binary, lower binary")
+    return states.mapInArrow(run, _ASK + ", seen binary, lower binary")
 
 
 def backoff_weights(asked: DataFrame) -> DataFrame:
@@ -318,7 +323,7 @@ def ask_triples(states: DataFrame, parts: int, turn: int, rounds: int) -> DataFr
             for row in rows_of(table):
                 batch = Batch(row)
                 keys, context, word, of_token = batch.pairs()
-                c1, c2 = unpacked_counts(len(batch.words), row["word_counts"]), unpacked_counts(len(keys), row["pair_counts"])
+                c1, c2, _ = counts_of(row, batch, len(keys))
                 pair, last, at, of_end = batch.triples(of_token)
                 counts = np.bincount(of_end[batch.token_train[at]], minlength=len(pair))
                 tail = np.zeros(len(pair), np.int64)
@@ -340,8 +345,8 @@ def ask_triples(states: DataFrame, parts: int, turn: int, rounds: int) -> DataFr
 
 
 def counted_triples(asked: DataFrame, d2: np.ndarray) -> DataFrame:
-    """To every batch: which of its triples are seen, and seen several times, with these counts; and of each pair after
-    which it has an unseen word, how many words were seen after it once, twice, ... up to GT_LIMIT times, how
+    """To every batch: which of its triples are seen, and seen several times, with these counts; and of each seen pair
+    after which it has an unseen word, how many words were seen after it once, twice, ... up to GT_LIMIT times, how
     often those above it, and what P(. | last word) gives to all of them.  One row more has the totals."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -369,7 +374,8 @@ def counted_triples(asked: DataFrame, d2: np.ndarray) -> DataFrame:
         for r, k, w in zip(rows, keys, words, strict=True):
             mine = of_triple[at : at + len(w)]
             local = of_context[at : at + len(w)] - at_key
-            asked_of = of_key[at_key : at_key + len(k)][np.bincount(local[mine == 0], minlength=len(k)) > 0]
+            own = of_key[at_key : at_key + len(k)]
+            asked_of = own[(np.bincount(local[mine == 0], minlength=len(k)) > 0) & (classes[own].any(axis=1))]
             several = mine > 1
             out.append({"batch": r["batch"], "part": r["part"], "n": len(w), "seen": np.packbits(mine > 0).tobytes(), "several": np.packbits(several).tobytes(), "counts": packed_counts(mine[several]), "classes": packed_counts(classes[asked_of].ravel()), "lower": lower[asked_of].tobytes(), "totals": None})
             at, at_key = at + len(w), at_key + len(k)
@@ -380,8 +386,8 @@ def counted_triples(asked: DataFrame, d2: np.ndarray) -> DataFrame:
     return asked.groupBy("part").applyInArrow(run, _REPLY3)
 
 
-def triple_counts(rows: list[dict], contexts: np.ndarray, n_contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Answers in order -> counts of the batch's triples; the contexts (places) with unseen triples, their classes, lower sums."""
+def triple_counts(rows: list[dict], contexts: np.ndarray, seen_context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Answers in order -> counts of the batch's triples; the seen contexts (places) with unseen triples, their classes, lower sums."""
     rows = sorted(rows, key=lambda r: r["part"])
     parts, classes, lower = [np.zeros(0, np.int64)], [np.zeros((0, GT_LIMIT + 1), np.int64)], [np.zeros(0)]
     for r in rows:
@@ -393,7 +399,7 @@ def triple_counts(rows: list[dict], contexts: np.ndarray, n_contexts: int) -> tu
         lower.append(own)
         classes.append(unpacked_counts(len(own) * (GT_LIMIT + 1), r["classes"]).reshape(-1, GT_LIMIT + 1))
     c3 = np.concatenate(parts)
-    asked = np.flatnonzero(np.bincount(contexts[c3 == 0], minlength=n_contexts))
+    asked = np.flatnonzero((np.bincount(contexts[c3 == 0], minlength=len(seen_context)) > 0) & seen_context)
     return c3, asked, np.concatenate(classes), np.concatenate(lower)
 
 
@@ -405,22 +411,20 @@ def finished(states: DataFrame, answers: DataFrame, d2: np.ndarray, d3: np.ndarr
         row, replies = rows_of(left)[0], rows_of(right)
         batch = Batch(row)
         keys, context, word, of_token = batch.pairs()
-        c1, c2 = unpacked_counts(len(batch.words), row["word_counts"]), unpacked_counts(len(keys), row["pair_counts"])
+        c1, c2, owner = counts_of(row, batch, len(keys))
         log1 = np.log10((c1 + 0.5) / (n_train + 0.5 * (vocabulary + 1)))
         # order 2
-        order = np.searchsorted(batch.words, unpacked_keys(row["width"], row["keys"]))
         alpha = np.zeros(len(batch.words))
-        alpha[order] = np.concatenate([np.zeros(0), *(np.frombuffer(r["alpha"]) for r in sorted((r for r in replies if r["level"] == 1), key=lambda r: r["part"]))])
+        alpha[used_contexts(c1, c2, owner, context)] = np.concatenate([np.zeros(0), *(np.frombuffer(r["alpha"]) for r in sorted((r for r in replies if r["level"] == 1), key=lambda r: r["part"]))])
         kept = d2[np.minimum(c2, len(d2) - 1)] * c2
         backed = np.where(c1[context] > 0, alpha[context], 0.0) + log1[word]
         log2 = np.where(c2 > 0, np.log10(np.where(c2 > 0, kept, 1.0) / (c1[context] + 0.5)), backed)
         # order 3
         pair, _, at, of_end = batch.triples(of_token)
-        c3, asked, classes, lower = triple_counts([r for r in replies if r["level"] == 3], pair, len(keys))
+        c3, asked, classes, lower = triple_counts([r for r in replies if r["level"] == 3], pair, c2 > 0)
         weights = np.append(d3[1 : GT_LIMIT + 1] * np.arange(1, GT_LIMIT + 1), 1.0)
         alpha2 = np.zeros(len(keys))
-        some = c2[asked] > 0
-        alpha2[asked[some]] = np.log10((1 - classes[some] @ weights / (c2[asked[some]] + 0.5)) / (1 - lower[some]))
+        alpha2[asked] = np.log10((1 - classes @ weights / (c2[asked] + 0.5)) / (1 - lower))
         kept = d3[np.minimum(c3, len(d3) - 1)] * c3
         logs = log2[of_token]
         c = c3[of_end]
@@ -451,10 +455,10 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     n_train, vocabulary, *_ = totals_of(words)
     d2 = discounts(totals_of(pairs)[2:])
     both = words.withColumn("level", F.lit(1)).union(pairs.withColumn("level", F.lit(2))).where("batch is not null").select("batch", "part", "level", "n", "counts", "owner")
-    states = staged(with_counts(batches, both, d2, (n_train, vocabulary)), "counted-batches")
+    states = staged(with_counts(batches, both), "counted-batches")
     discard(batches, words, pairs)
     release(spark)
-    alphas = staged(backoff_weights(ask_backoff(states, parts)), "backoff-weights")
+    alphas = staged(backoff_weights(ask_backoff(states, parts, d2, (n_train, vocabulary))), "backoff-weights")
     release(spark)
     triples = []
     for turn in range(rounds):
