@@ -1,13 +1,14 @@
 """Near-duplicate vectors by a flat, robust-pruned graph.
 
-Vectors of one label are dealt to overlapping shards (each to its nearest pivots).  Every shard builds a graph in which
-a vector keeps a close neighbour only if no kept one is closer to it (robust pruning, slack ALPHA) and takes in
-reverse edges; the adjacency lists of a vector from its shards are united.  Each vector is then searched for: a greedy
-walk from the shard's medoids with a short beam, which widens around everything it finds in range until
-nothing new is.  What it meets is verified by the cosine in double precision; a pair counts in one shard only (the
-first that holds both), so links are counted where they are found and no list of all pairs is made: a shard
-passes on a count for each vector and a spanning forest of its links.  The recall against brute force is audited on
-a bounded set of queries; below the target the index is built again with more overlap and a wider beam.
+Vectors of one label are dealt to overlapping shards (each to its nearest pivots, if the second is nearly as close).
+Every shard builds a graph in which a vector keeps a close neighbour only if no kept one is closer to it (robust
+pruning, slack ALPHA) and takes in reverse edges, pruned again where they are many; the adjacency lists of a vector
+from its shards are united.  Each vector is then searched for: a greedy walk from the shard's medoids with a short
+beam, which widens around everything it finds in range until nothing new is.  What it meets is verified by the
+cosine in double precision.  Every link found joins components; a link counts in one shard only (the first that holds
+both), so no list of all pairs is made: a shard passes on a count for each vector and a spanning forest of its
+links.  The recall against brute force is audited on all vectors whose id is divisible by 100; below the target the
+index is built again with more overlap and a wider beam.
 
 Equal vectors are one class throughout.  Shards that pivots cannot split (very many vectors in one spot) are cut
 into chunks which meet two at a time.
@@ -15,6 +16,7 @@ into chunks which meet two at a time.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -26,12 +28,14 @@ from ..operators.components import connected_components
 from .common import discard, staged
 
 LEAST = 0.98
+log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
 class Settings:
     shard_rows: int = 512  # shards larger than twice this are split
     overlap: int = 2
+    margin: float = 0.2  # a second pivot takes a vector only if it is nearly as close as the first
     degree: int = 24
     pool: int = 48
     beam: int = 24
@@ -39,7 +43,7 @@ class Settings:
     slack: float = 0.03  # the walk goes on through what lies so far below the limit
     chunk: int = 2048
     round_pivots: int = 16_384  # broadcast at once: at most so many vectors
-    queries: int = 256  # of the audit: at most so many vectors are broadcast
+    queries: int = 2048  # of the audit: at most so many vectors are broadcast at once
     recall: float = 0.95
     seed: int = 5
 
@@ -88,9 +92,9 @@ def sharded(classes: DataFrame, s: Settings) -> DataFrame:
         for r in picked.select("shard", F.explode("p.cls").alias("cls")).join(classes.select("cls", "vec"), "cls").orderBy("shard", "cls").collect():
             pivots.setdefault(r["shard"], []).append(np.frombuffer(r["vec"], np.float64))
         pivots = {k: np.stack(v) for k, v in pivots.items()}
-        overlap, seed = s.overlap, s.seed
+        overlap, margin, seed = s.overlap, s.margin, s.seed
 
-        def split(batches, pivots=pivots, overlap=overlap, seed=seed):
+        def split(batches, pivots=pivots, overlap=overlap, margin=margin, seed=seed):
             for batch in batches:
                 shards, vectors = batch.column(1).to_numpy(), matrix(batch.column(2))
                 owner, out, done = [], [], []
@@ -102,11 +106,14 @@ def sharded(classes: DataFrame, s: Settings) -> DataFrame:
                         out += [int(shard)] * len(at)
                         done += [True] * len(at)
                         continue
-                    near = np.argsort(-(np.stack([vectors[i] for i in at]) @ p.T), axis=1, kind="stable")[:, :overlap]
+                    sims = vectors[at] @ p.T
+                    near = np.argsort(-sims, axis=1, kind="stable")[:, :overlap]
+                    close = np.take_along_axis(sims, near, axis=1)
+                    close = close >= close[:, :1] - margin
                     names = np.array([hash((int(shard), i, seed)) for i in range(len(p))], np.int64)
-                    owner += np.repeat(at, near.shape[1]).tolist()
-                    out += names[near.ravel()].tolist()
-                    done += [False] * near.size
+                    owner += np.repeat(at, close.sum(axis=1)).tolist()
+                    out += names[near[close]].tolist()
+                    done += [False] * int(close.sum())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(out, pa.int64()), pa.array(done, pa.bool_())], names=["cls", "shard", "done"])
 
         parts = inside.select("cls", "shard").join(classes.select("cls", "vec"), "cls").select("cls", "shard", "vec").mapInArrow(split, "cls long, shard long, done boolean")
@@ -154,6 +161,8 @@ def build_graph(vectors: np.ndarray, s: Settings) -> list[set[int]]:
         for j in pruned(sims, i, np.unique(np.concatenate([near[i], far[far != i]])), s.degree, s.alpha):
             out[i].add(j)
             out[j].add(i)
+            if len(out[j]) > 2 * s.degree:  # reverse edges are pruned again once there are too many
+                out[j] = set(pruned(sims, j, np.array(sorted(out[j])), s.degree, s.alpha))
     return out
 
 
@@ -209,40 +218,32 @@ def searched(rows: DataFrame, least: float, s: Settings) -> DataFrame:
             found = np.asarray(names.values) if names.is_valid else np.zeros(0, np.int64)
             place = np.minimum(np.searchsorted(cls, found), len(cls) - 1)
             edges.append(place[(cls[place] == found) & (place != i)])
-        entries, parent = medoids(vectors), list(range(len(cls)))
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        several = [len(x) > 1 for x in shards]
-        a, b, n = [], [], []
-        asked: list[np.ndarray] = [np.sort(range_search(vectors, edges, entries, i, s, least)) for i in range(len(cls))]
-        linked: list[set[int]] = [set(x.tolist()) for x in asked]
-        for i, x in enumerate(asked):  # what one of the two finds, both have found
-            for j in x.tolist():
-                linked[j].add(i)
-        for i, x in enumerate(linked):
-            total = 0
-            for j in x:
-                if (min(chunk[i], chunk[j]), max(chunk[i], chunk[j])) != (first, second):
-                    continue
-                if several[i] and several[j] and min(set(shards[i]) & set(shards[j])) != shard:
-                    continue
-                total += int(mult[j])
-                p, q = root(i), root(j)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    a.append(int(cls[i]))
-                    b.append(int(cls[j]))
-                    n.append(None)
-            if total:
-                a.append(int(cls[i]))
-                b.append(None)
-                n.append(total)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+        entries, n = medoids(vectors), len(cls)
+        linked = np.zeros((n, n), bool)  # a unit has at most two chunks
+        for i in range(n):
+            linked[i, range_search(vectors, edges, entries, i, s, least)] = True
+        linked |= linked.T  # what one of the two finds, both have found
+        # every link that was found joins, wherever it is counted
+        label, before = np.arange(n), None
+        while before is None or (label != before).any():
+            before = label
+            label = np.array([min(before[i], before[row].min(initial=n)) for i, row in enumerate(linked)])
+            label = label[label]
+        joined = np.flatnonzero(label != np.arange(n))
+        # a link counts in the first shard that holds both, in the unit of its chunks
+        earlier = sorted({x for names in shards for x in names if x < shard})
+        place = {x: i for i, x in enumerate(earlier)}
+        inside = np.zeros((n, max(1, len(earlier))), np.float32)
+        for i, names in enumerate(shards):
+            inside[i, [place[x] for x in names if x < shard]] = 1
+        for at in range(0, n, 512):
+            part = slice(at, at + 512)
+            low, high = np.minimum(chunk[part, None], chunk[None, :]), np.maximum(chunk[part, None], chunk[None, :])
+            linked[part] &= (low == first) & (high == second) & (inside[part] @ inside.T == 0)
+        total = linked @ mult
+        counted = np.flatnonzero(total)
+        a, b = np.concatenate([cls[joined], cls[counted]]), [*cls[label[joined]].tolist(), *[None] * len(counted)]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array([*[None] * len(joined), *total[counted].tolist()], pa.int64())})
 
     return rows.groupBy("unit").applyInArrow(run, "a long, b long, n long")
 
@@ -261,10 +262,23 @@ def adjacency(rows: DataFrame, s: Settings) -> DataFrame:
 
 
 def audit(classes: DataFrame, counts: DataFrame, least: float, s: Settings) -> float:
-    """Links found over links there are, of at most `queries` classes whose ids are divisible by 100."""
-    asked = classes.where("least_id % 100 = 0").orderBy(F.xxhash64("cls"), "cls").limit(s.queries).collect()
-    if not asked:
+    """Links found over links there are, of all classes whose smallest id is divisible by 100 (if there are none, of
+    one in a hundred by hash, or of all), asked in rounds of at most `queries` broadcast vectors."""
+    tests = ("least_id % 100 = 0", "pmod(xxhash64(cls), 100) = 0", "true")
+    asked = next((q for q in (classes.where(t) for t in tests) if q.limit(1).count()), None)
+    if asked is None:
         return 1.0
+    turns = max(1, -(-asked.count() // s.queries))
+    found = [0.0, 0.0]
+    for turn in range(turns * 2 if turns > 1 else 1):  # twice as many turns as needed, so that each stays within the bound
+        part = asked.where(F.pmod(F.xxhash64("cls", F.lit("turn")), F.lit(turns * 2 if turns > 1 else 1)) == turn).collect()
+        if part:
+            both = _audit_some(classes, counts, least, part)
+            found = [x + y for x, y in zip(found, both, strict=True)]
+    return 1.0 if not found[0] else found[1] / found[0]
+
+
+def _audit_some(classes: DataFrame, counts: DataFrame, least: float, asked: list) -> tuple[float, float]:
     ids, labels = np.array([r["cls"] for r in asked]), np.array([r["label"] for r in asked])
     vectors = [np.frombuffer(r["vec"], np.float64) for r in asked]
     by_size = {n: np.flatnonzero([len(v) == n for v in vectors]) for n in {len(v) for v in vectors}}
@@ -275,16 +289,17 @@ def audit(classes: DataFrame, counts: DataFrame, least: float, s: Settings) -> f
         for batch in batches:
             cls, label, mult = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
             rows = [np.frombuffer(x.as_buffer(), np.float64) for x in batch.column(3)]
+            sizes = np.array([len(v) for v in rows])
             for n, at in by_size.items():
-                mine = np.flatnonzero([len(v) == n for v in rows])
-                if len(mine):
-                    hit = (np.stack([rows[i] for i in mine]) @ stacked[n].T >= least) & (label[mine, None] == labels[None, at]) & (cls[mine, None] != ids[None, at])
-                    total[at] += (hit * mult[mine, None]).sum(axis=0)
+                for some in np.array_split(np.flatnonzero(sizes == n), max(1, len(rows) // 1024)):
+                    if len(some):
+                        hit = (np.stack([rows[i] for i in some]) @ stacked[n].T >= least) & (label[some, None] == labels[None, at]) & (cls[some, None] != ids[None, at])
+                        total[at] += (hit * mult[some, None]).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["cls", "n"])
 
     true = classes.select("cls", "label", "mult", "vec").mapInArrow(run, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n_true"))
     both = true.join(counts, "cls", "left").agg(F.sum("n_true"), F.sum(F.least(F.coalesce("n", F.lit(0)), "n_true"))).first()
-    return 1.0 if not both[0] else float(both[1]) / float(both[0])
+    return float(both[0] or 0), float(both[1] or 0)
 
 
 def near_vectors(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", settings: Settings = Settings()) -> DataFrame:
@@ -299,7 +314,7 @@ def near_vectors(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id",
     some = own.where("vec is not null and label is not null and id is not null")
     grouped = some.groupBy("label", "vec").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("mult"))
     classes = staged(grouped.withColumn("cls", F.xxhash64("label", "vec")), "vector-classes")
-    tries = [settings, replace(settings, overlap=settings.overlap + 2, beam=4 * settings.beam, slack=0.1, shard_rows=2 * settings.shard_rows)]
+    tries = [settings, replace(settings, overlap=settings.overlap + 2, margin=2.0, beam=4 * settings.beam, slack=0.1, shard_rows=2 * settings.shard_rows)]
     for s in tries:
         work = staged(units(classes, staged(sharded(classes, s), "shard-lists"), s), "units")
         near = staged(adjacency(work, s), "adjacency")
@@ -311,10 +326,12 @@ def near_vectors(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id",
             break
     if recall < 0.9:
         raise RuntimeError(f"recall {recall:.3f} is below 0.9")
+    if recall < settings.recall:
+        log.warning("recall %.3f is below the target of %.3f", recall, settings.recall)
     parts = connected_components(found.where("b is not null").select("a", "b"))
     of_class = staged(classes.join(counts, "cls", "left").join(parts.toDF("cls", "component"), "cls", "left").select("label", "vec", "least_id", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component")), "class-links")
     smallest = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_class = of_class.join(smallest, "component").select("label", "vec", "n_links", "component_id")
     out = own.join(staged(of_class, "class-links"), ["label", "vec"], "left")
-    component = F.coalesce("component_id", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_file, partitions, scratch_path, staged, write_file
+from .common import discard, open_file, partitions, remove_path, scratch_path, staged, write_file
 
 MIN_REVISIT = 100
 FILE_BYTES = 32 << 20
@@ -91,21 +91,35 @@ def write_monolithic(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
 
 
 def inflated(uri: str) -> Iterator[bytes]:
-    """The bytes of a gzip file, across all of its members; a file that is not compressed comes as it is."""
+    """The bytes of a gzip file, across all of its members, at most CHUNK at once; a file that is not compressed comes as it is.
+
+    ValueError for a member whose end, and with it checksum and length, is missing.  Zeros behind a member are passed over.
+    """
     with open_file(uri) as source:
-        data, plain = source.read(CHUNK), False
-        press = zlib.decompressobj(31)
-        plain = data[:2] != b"\x1f\x8b"
-        while data:
-            if plain:
+        data = source.read(CHUNK)
+        if data[:2] != b"\x1f\x8b":
+            while data:
                 yield data
-            else:
-                while data:
-                    yield press.decompress(data)
-                    data = press.unused_data
-                    if press.eof:
-                        press = zlib.decompressobj(31)
-            data = source.read(CHUNK)
+                data = source.read(CHUNK)
+            return
+        press = None
+        while data:
+            if press is None:
+                data = data.lstrip(b"\0")
+                if data:
+                    press = zlib.decompressobj(31)
+            while data and press is not None:
+                yield press.decompress(data, CHUNK)
+                data = press.unconsumed_tail
+                if press.eof:
+                    data, press = press.unused_data, None
+                    break
+            data = data or source.read(CHUNK)
+        while press is not None and not press.eof:  # what the last bytes still hold
+            more = press.decompress(b"", CHUNK)
+            if not more and not press.eof:
+                raise ValueError(f"{uri} ends inside a gzip member")
+            yield more
 
 
 def records(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -221,8 +235,12 @@ def read_archives(files: DataFrame, with_payload: bool = False) -> DataFrame:
 def archive(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
     """Write pages as archives, normalise them, and name the results: path, n_records.
 
-    Null payloads count as empty.  An empty table gives no files.
+    Null payloads count as empty.  An empty table gives no files.  The single-stream archives are deleted once their
+    normalised copies are written.
     """
     folder = folder or scratch_path(pages.sparkSession, "warc")
     raw = staged(write_monolithic(record_types(pages, **columns), f"{folder}/raw"), "raw-archives")
-    return staged(normalise(raw, f"{folder}/records"), "archives")
+    out = staged(normalise(raw, f"{folder}/records"), "archives")
+    remove_path(pages.sparkSession, f"{folder}/raw")
+    discard(raw)
+    return out

@@ -152,6 +152,16 @@ def test_normaliser_takes_any_members(tmp_path):
         entries = [json.loads(x) for x in (tmp_path / f"{name}.out.idx").read_text().splitlines()]
         headers, block = warc.read_record(target, entries[17]["offset"], entries[17]["length"])
         assert warc.row_of_urn(headers["warc-record-id"]) == 17 and block.endswith(b"y" * 17000)
+    whole = gzip.compress(b"".join(records))
+    for name, data in {"padded": whole + b"\0" * 700, "padded between": gzip.compress(b"".join(records[:20])) + b"\0" * 512 + gzip.compress(b"".join(records[20:]))}.items():
+        (tmp_path / name).write_bytes(data)
+        assert warc.normalise_file(str(tmp_path / name), str(tmp_path / "p.out")) == 40
+    for name, data in {"no trailer": whole[:-8], "half a trailer": whole[:-3], "bad checksum": whole[:-8] + b"abcd" + whole[-4:]}.items():
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises((ValueError, zlib.error)):
+            warc.normalise_file(str(tmp_path / name), str(tmp_path / "t.out"))
+    (tmp_path / "bomb").write_bytes(gzip.compress(bytes(50_000_000)))
+    assert max(map(len, warc.inflated(str(tmp_path / "bomb")))) <= warc.CHUNK
     (tmp_path / "cut").write_bytes(gzip.compress(b"".join(records)[:-500]))
     with pytest.raises(ValueError):
         warc.normalise_file(str(tmp_path / "cut"), str(tmp_path / "cut.out"))
@@ -315,6 +325,13 @@ def test_near_vectors(spark):
     assert ann.near_vectors(docs.limit(0)).count() == 0
 
 
+def test_repeated_vectors_and_ids(spark):
+    v, w, far = [1.0, 0.0, 0.0], [0.999, 0.01, 0.0], [0.0, 1.0, 0.0]
+    rows = [(7, v, "x"), (3, v, "x"), (3, v, "x"), (5, w, "x"), (5, far, "x"), (9, v, "y"), (None, v, "x")]
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in ann.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect())
+    assert got == [(0, 0, 0), (3, 3, 3), (3, 3, 3), (5, 0, 5), (5, 3, 3), (7, 3, 3), (9, 0, 9)]
+
+
 def test_media(docs, nothing):
     for r in webp.digests(webp.read_media(webp.store_texts(docs))).collect():
         data = (TEXTS[r["doc_id"]] or "").encode()
