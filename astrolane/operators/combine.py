@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import logging
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sphere import finite
+from .identity import IdentityIndex
 from .weights import Weight, default_weight
 
+log = logging.getLogger(__name__)
 STRATEGIES = ("best_only", "ivar_average", "hyperparameter", "unit_mean")
 
 
@@ -49,6 +52,8 @@ def combine(rows: DataFrame, value: str = "value", variance: str = "variance", s
         used = used.join(means, "survey").withColumn("w", F.when(F.col("mean") != 0, F.col("w") / F.col("mean")))
     total = F.sum("w")
     out = used.groupBy("uid").agg(total.alias("weight"), F.sum(F.col("w") * F.col("v")).alias("s"), F.countDistinct("survey").alias("n_surveys"), _survey_list().alias("surveys"))
+    if strategy == "unit_mean":
+        log.warning("unit_mean rescales weights by survey, so its variances mean nothing and are left out")
     spread = F.lit(None).cast("double") if strategy == "unit_mean" else 1.0 / F.col("weight")
     return out.where("weight > 0").select("uid", (F.col("s") / F.col("weight")).alias("value"), spread.alias("variance"), "weight", "n_surveys", "surveys")
 
@@ -70,13 +75,33 @@ class WeightedCatalog:
         self.weights.setdefault(survey, []).append(weight)
         return self
 
-    def fill_defaults(self, types: Mapping[str, tuple[str, str]]) -> "WeightedCatalog":
-        """types: survey -> (survey type, redshift type).  Surveys that have weights keep them."""
+    @classmethod
+    def from_identity(cls, index: IdentityIndex, open_dataset: Callable[[str], DataFrame] | Mapping[str, DataFrame], datasets: list[str] | None = None) -> "WeightedCatalog":
+        """The datasets of an identity index (row_index and columns each), matched by it."""
+        names = index.datasets() if datasets is None else datasets
+        frames = {n: open_dataset[n] if isinstance(open_dataset, Mapping) else open_dataset(n) for n in names}
+        return cls(frames, index.rows.where(F.col("dataset").isin(sorted(names))).select("uid", "dataset", "row_index"))
+
+    def fill_defaults(self, types: Mapping[str, tuple[str, str]], skip_unknown: bool = False) -> "WeightedCatalog":
+        """types: survey -> (survey type, redshift type).  Surveys that have weights keep them.
+
+        skip_unknown: surveys of a kind without a default stay as they are, in place of an error.
+        """
         for survey, (kind, z_type) in types.items():
             if not self.weights.get(survey):
-                self.add_weight(survey, default_weight(kind, z_type))
+                try:
+                    weight = default_weight(kind, z_type)
+                except (KeyError, ValueError):
+                    if skip_unknown:
+                        continue
+                    raise
+                self.add_weight(survey, weight)
         return self
 
+    def fill_from_database(self, database, z_type: str, skip_unknown: bool = False) -> "WeightedCatalog":
+        """Defaults by the survey types that a database's manifests name."""
+        return self.fill_defaults({n: (database.entry(n).manifest.survey_type, z_type) for n in self.frames}, skip_unknown)
+
     def total_weight(self, survey: str) -> Column:
         out = F.lit(1.0)
         for w in self.weights.get(survey, []):

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.validity import Validity
-from .match import MatchRules, dense_ids
-from .selection import selected
+from .match import MatchResult, MatchRules, dense_ids
+from .selection import Cone, Shell, SkyPatch, selected
 
 
 @dataclass(frozen=True)
@@ -21,6 +21,8 @@ class IdentityIndex:
     rules: MatchRules
     name: str = "default"
     validity: Validity | None = None
+    names: tuple[str, ...] | None = None
+    stored_counts: tuple[int, int] | None = None
 
     @property
     def sky_tol_arcsec(self) -> float:
@@ -31,11 +33,22 @@ class IdentityIndex:
         return self.rules.dz_tol
 
     def datasets(self) -> list[str]:
+        """The names that the index was stored with, else those of its rows."""
+        if self.names is not None:
+            return sorted(self.names)
         return [r["dataset"] for r in self.rows.select("dataset").distinct().orderBy("dataset").collect()]
 
     def of(self, uid: int) -> DataFrame:
         return self.rows.where(F.col("uid") == uid)
 
+    concurrences = of
+
+    def counts(self) -> dict[str, int]:
+        """Objects, and objects of several datasets: as stored, else counted."""
+        if self.stored_counts is not None:
+            return dict(zip(("n_unique", "n_multi"), self.stored_counts, strict=True))
+        return MatchResult(self.rows, self.rules).counts()
+
     def lookup(self, dataset: str, row_index: int) -> int:
         found = self.rows.where((F.col("dataset") == dataset) & (F.col("row_index") == row_index)).select("uid").take(1)
         if not found:
@@ -50,7 +63,7 @@ class IdentityIndex:
         """The rows of some datasets, uids made dense again; keeps rules and validity."""
         rows = self.rows.where(F.col("dataset").isin(sorted(datasets)))
         ids = dense_ids(rows.select("uid").distinct(), ["uid"], "dense")
-        return replace(self, rows=rows.join(ids, "uid").withColumn("uid", F.col("dense")).drop("dense"))
+        return replace(self, rows=rows.join(ids, "uid").withColumn("uid", F.col("dense")).drop("dense"), names=None, stored_counts=None)
 
     def __repr__(self) -> str:
         return f"IdentityIndex({self.name!r}, rules {self.rules.hash})"
@@ -94,6 +107,15 @@ class IdentityQuery:
         """Objects of which any one row satisfies all predicates."""
         return self.index.rows.where(selected(selections)).select("uid").distinct()
 
+    def from_cone(self, *args) -> DataFrame:
+        return self.from_selection(Cone(*args))
+
+    def from_shell(self, *args) -> DataFrame:
+        return self.from_selection(Shell(*args))
+
+    def from_skypatch(self, *args) -> DataFrame:
+        return self.from_selection(SkyPatch(*args))
+
     def index_for(self, uids) -> DataFrame:
         return self.index.rows.join(self._uids(uids), "uid", "left_semi")
 

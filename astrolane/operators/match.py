@@ -130,6 +130,20 @@ class MatchRules:
         return out
 
 
+def legacy_rules(rules: MatchRules | None, **old) -> MatchRules:
+    """Rules as given, or from the older keywords sky_tol_arcsec and dz_tol; with either of them the tolerance in redshift is
+    dz_tol, without a limit if it is None."""
+    unknown = set(old) - {"sky_tol_arcsec", "dz_tol"}
+    if unknown:
+        raise TypeError(f"unknown keywords {sorted(unknown)}")
+    if not old:
+        return rules or MatchRules()
+    if rules is not None:
+        raise ValueError("either rules or the older keywords")
+    default = MatchRules()
+    return MatchRules(old.get("sky_tol_arcsec", default.sky_tol_arcsec), old["dz_tol"] if "dz_tol" in old else default.dz_tol)
+
+
 def stacked(catalogs: Mapping[str, DataFrame], z_types: Mapping[str, str] | None = None) -> DataFrame:
     """dataset, row_index, ra, dec, z, z_type of all catalogs; the type is the row's own, the survey's, or none."""
     out = None

@@ -193,7 +193,7 @@ def manifest_counts(spark, sf):
 @query(f"SELECT {_pixel(4)} AS cell, count(*) AS n_rows, min(ra) AS ra_min, max(ra) AS ra_max, min(dec) AS dec_min, max(dec) AS dec_max, min(z) AS z_min, max(z) AS z_max, min(t_obs) AS t_min, max(t_obs) AS t_max FROM {A} a GROUP BY 1")
 def partition_stats(spark, sf):
     """The statistics that writing the dataset left in its manifest."""
-    rows = [(p.healpix_cell, p.n_rows, *[float(v) for n in ("ra", "dec", "z", "t") for v in p.stats[n]]) for p in _dataset(spark, sf).manifest.partitions]
+    rows = [(p.cell, p.rows, *[float(v) for n in ("ra", "dec", "z", "t") for v in p.ranges[n]]) for p in _dataset(spark, sf).manifest.files]
     return spark.createDataFrame(rows, "cell long, n_rows long, " + ", ".join(f"{n}_{e} double" for n in ("ra", "dec", "z", "t") for e in ("min", "max")))
 
 
@@ -605,7 +605,7 @@ def _database(spark, sf) -> Database:
             name, region = r["n_name"].lower().replace(" ", "-"), r["n_regionkey"]
             began = (date(2020, 1, 1) + timedelta(days=r["n_nationkey"])).isoformat() + "T00:00:00+00:00"
             validity = Validity(began, supersedes=last.get(region))
-            write_manifest(f"{place}/r{region}/{name}", Manifest(Geometry.POINT, r["n_name"], f"r{region}", began, (), validity=validity, partitioning={}))
+            write_manifest(f"{place}/r{region}/{name}", Manifest(r["n_name"], f"r{region}", Geometry.POINT, (), validity=validity, written=began))
             last[region] = f"r{region}_{name}"
         return place
 

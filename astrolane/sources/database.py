@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..operators.identity import IdentityIndex, IdentityQuery
 from ..operators.links import LinkRules, LinkSet, first_rows, link
-from ..operators.match import MatchRules, cross_match
+from ..operators.match import MatchResult, MatchRules, cross_match, legacy_rules
 from . import ingest, loaders
-from .manifest import NAME, Manifest, ManifestError, read_manifest, write_atomic
+from .manifest import NAME, Manifest, ManifestError, has_manifest, read_manifest, write_atomic
 from .scan import ROW_INDEX, DatasetView
 from .schema import Geometry
 from .validity import Validity, instant, now_utc
@@ -40,14 +40,20 @@ def name_of(relative: Path) -> tuple[str, str]:
 
 
 def discover(root: Path, max_depth: int = 6) -> Iterator[tuple[Path, Manifest]]:
-    """Readable manifests in the order of their paths; unreadable ones are reported and passed over."""
-    for path in sorted(root.rglob(NAME)):
-        inside = path.parent.relative_to(root)
-        if len(inside.parts) <= max_depth and not any(p in (IDENTITY, LINKS) for p in inside.parts):
+    """Readable manifests in the order of their paths; unreadable ones are reported and passed over.  A dataset's own
+    folders are not entered, nor anything below max_depth."""
+    folders = [root]
+    while folders:
+        folder = folders.pop()
+        if has_manifest(folder):
             try:
-                yield path.parent, read_manifest(path.parent)
+                yield folder, read_manifest(folder)
             except ManifestError as e:
                 log.warning("skipped: %s", e)
+            continue
+        if folder.is_dir() and len(folder.relative_to(root).parts) < max_depth:
+            below = sorted((p for p in folder.iterdir() if p.is_dir() and p.name not in (IDENTITY, LINKS)), reverse=True)
+            folders += below
 
 
 def supersede(entries: dict[str, Entry]) -> dict[str, Entry]:
@@ -82,6 +88,7 @@ class Database:
 
     def __init__(self, spark: SparkSession, root: str | Path, name_from_path: Callable[[Path], tuple[str, str]] = name_of, max_depth: int = 6, as_of: str | datetime | None = None):
         self.spark, self.root = spark, Path(root)
+        self.options = {"name_from_path": name_from_path, "max_depth": max_depth}
         found = {}
         for path, manifest in discover(self.root, max_depth):
             name = name_from_path(path.relative_to(self.root))[0]
@@ -96,7 +103,7 @@ class Database:
 
     def as_of(self, when: str | datetime) -> "Database":
         """The datasets valid at an instant; those without validity are left out."""
-        return Database(self.spark, self.root, as_of=instant(when))
+        return Database(self.spark, self.root, as_of=instant(when), **self.options)
 
     def versions_of_root(self, path: str | Path) -> list[Entry]:
         base = self.root / path
@@ -133,6 +140,18 @@ class Database:
     def load(self, name: str, **options) -> DataFrame:
         return self.view(name).scan(**options)
 
+    def get_loader(self, name: str) -> loaders.SurveyLoader:
+        """A loader of a dataset, made from its manifest: load() selects rows and columns as a survey's own loader does."""
+        e = self.entry(name)
+        kind = type(f"{name.title().replace('_', '')}Dataset", (loaders.SurveyLoader,), {"config": loaders.SurveyConfig(name, e.manifest.survey_type, (), "parquet", e.manifest.n_rows, f"dataset {name}", fields={c: c for c in e.manifest.schema.names}), "_place": lambda self, path, own=e.path: own})
+        return kind(self.spark)
+
+    from_config = staticmethod(lambda spark, path: from_config(spark, path))
+
+    @classmethod
+    def from_root(cls, spark: SparkSession, root: str | Path, **options) -> "Database":
+        return cls(spark, root, **options)
+
     def register_views(self) -> None:
         """Every dataset as a temporary view, for SQL."""
         for name in self:
@@ -156,10 +175,18 @@ class Database:
         return rows.select("row_index", "ra", "dec", *[c for c in ("z", "z_type") if c in rows.columns])
 
     def _attributes(self, name: str) -> DataFrame:
-        return self.view(name).scan().withColumn("row_index", F.col(ROW_INDEX))
+        """What identities are hydrated from: the rows of points, the objects of light curves and sightlines."""
+        view = self.view(name)
+        if view.geometry is Geometry.POINT:
+            return view.scan().withColumn("row_index", F.col(ROW_INDEX))
+        return view.objects().withColumn("row_index", F.col("object_id" if view.geometry is Geometry.LIGHTCURVE else "sightline_id"))
+
+    def build_identity(self, datasets: list[str] | None = None, rules: MatchRules | None = None, name: str = "default", persist: bool = True, **legacy) -> IdentityIndex:
+        """Cross-match point datasets (others by name only).  Unknown names raise, unreadable datasets are passed over.
 
-    def build_identity(self, datasets: list[str] | None = None, rules: MatchRules = MatchRules(), name: str = "default", persist: bool = True) -> IdentityIndex:
-        """Cross-match point datasets (others by name only).  Unknown names raise, unreadable datasets are passed over."""
+        legacy: sky_tol_arcsec and dz_tol in place of rules; with either of them dz_tol (None: no limit) is the default's.
+        """
+        rules = legacy_rules(rules, **legacy)
         chosen = datasets or [n for n in self if self.entry(n).manifest.geometry is Geometry.POINT]
         frames = {}
         for n in chosen:
@@ -176,7 +203,7 @@ class Database:
         return self._save(IDENTITY, name, rows.orderBy("uid", "dataset", "row_index"), {"rules": rules.state(), "rules_hash": rules.hash, "datasets": sorted(frames)}, lambda r, d: self._index(r, d, name)) if persist else index
 
     def _index(self, rows: DataFrame, state: dict, name: str) -> IdentityIndex:
-        return IdentityIndex(rows, MatchRules.from_state(state["rules"]), name, Validity(**state["validity"]))
+        return IdentityIndex(rows, MatchRules.from_state(state["rules"]), name, Validity(**state["validity"]), tuple(state.get("datasets", ())) or None, tuple(state["counts"]) if state.get("counts") else None)
 
     def _save(self, kind: str, name: str, rows: DataFrame, state: dict, wrap):
         """Data under a fresh folder, then the pointer file; what was live before stays as an archive that ends now."""
@@ -187,6 +214,9 @@ class Database:
         stamp = moment.strftime("%Y%m%dT%H%M%S%f")
         data = folder / f"{name}-{stamp}.parquet"
         rows.write.option("compression", "zstd").parquet(str(data))
+        if kind == IDENTITY:
+            counts = MatchResult(self.spark.read.parquet(str(data)), MatchRules()).counts()
+            state = state | {"counts": [counts["n_unique"], counts["n_multi"]]}
         live = folder / f"{name}.json"
         if live.exists():
             old = json.loads(live.read_text())
@@ -221,12 +251,17 @@ class Database:
     def identity_query(self, name: str = "default", as_of=None) -> IdentityQuery:
         return IdentityQuery(self.load_identity(name, as_of), self._attributes)
 
-    def build_links(self, rules: LinkRules, parents: list[str], children: list[str], name: str = "default", identity: str = "default", across_datasets: bool = False) -> LinkSet:
+    def build_links(self, rules: LinkRules, parents: list[str] | None = None, children: list[str] | None = None, name: str = "default", identity: str = "default", across_datasets: bool = False) -> LinkSet:
+        """Links of children to parents; without names, all datasets that the identities hold of the rules' survey types."""
+        index = self.load_identity(identity)
+        held = [n for n in index.datasets() if n in self]
+        of_type = lambda kind: [n for n in held if self.entry(n).manifest.survey_type == kind]
+        parents = of_type(rules.parent_survey_type) if parents is None else parents
+        children = of_type(rules.child_survey_type) if children is None else children
         for names, kind in ((parents, rules.parent_survey_type), (children, rules.child_survey_type)):
             for n in names:
                 if self.entry(n).manifest.survey_type != kind:
                     raise ValueError(f"{n} is of type {self.entry(n).manifest.survey_type}, not {kind}")
-        index = self.load_identity(identity)
         rows = link(first_rows(index.rows, parents), first_rows(index.rows, children), rules, across_datasets)
         return self._save(LINKS, name, rows, {"rules": rules.state(), "rules_hash": rules.hash, "identity_hash": index.rules.hash}, lambda r, d: self._link_set(r, d, name))
 
@@ -240,6 +275,9 @@ class Database:
     def list_link_sets(self, include_archived: bool = False) -> list[str]:
         return self._names(LINKS, include_archived)
 
+    load_oneuid, list_oneuids = load_identity, list_identities
+    load_subobject_links, list_subobject_link_sets = load_links, list_link_sets
+
     def __repr__(self) -> str:
         return f"Database({str(self.root)!r}, {len(self)} datasets)"
 
@@ -248,7 +286,12 @@ def convert(spark: SparkSession, survey: str, out: str | Path, raw_path: str | N
     """Read a registered survey's raw file and write it as a dataset."""
     loader = loaders.get_loader(survey)(spark)
     rows = loader.load(validate=False, path=raw_path, force_native=True, **options)
-    originals = ({"path": str(raw_path), "format": loader.config.data_format},) if raw_path else ()
+    originals = ()
+    if raw_path and Path(raw_path).is_file():
+        found = ingest.hashes(spark, [str(raw_path)]).first()
+        originals = ({"path": str(raw_path), "format": loader.config.data_format, "sha256": found["sha256"], "size": found["size"], "rows": ingest.source_rows(spark, str(raw_path), loader.config.data_format) if loader.config.data_format in ("fits", "csv") else None},)
+    elif raw_path:
+        originals = ({"path": str(raw_path), "format": loader.config.data_format},)
     return ingest.write_dataset(ingest.standard_columns(rows), out, survey, loader.config.survey_type, overwrite=overwrite, rows_per_file=rows_per_file, compression=compression, validity=validity, original_files=originals, conversion_kwargs={k: str(v) for k, v in options.items()}, loader={"name": survey})
 
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import logging
 import shutil
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sphere
-from .manifest import Manifest, Partition, hash_file, write_manifest
+from ..plans.staging import discard, staged
+from .manifest import DataFile, Manifest, write_manifest
 from .schema import CHUNK_ROWS, Geometry, check_contract
 from .validity import Temporal, Validity, now_utc
 
 ROW_INDEX = "_original_row_index"
+log = logging.getLogger(__name__)
 ROWS_PER_CELL = 100_000
 
 
@@ -33,10 +38,15 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def numbered_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A CSV file with the number of each data row, assigned in file order by one sequential read on an executor."""
-    columns = spark.read.options(header=True, **options).csv(path).columns
-    lines = spark.read.options(header=True, inferSchema=True, **options).csv(path).coalesce(1)
-    return lines.select(*columns).withColumn(ROW_INDEX, F.monotonically_increasing_id())
+    """CSV files with the number of each data row in file order: ranks inside each split, and the rows of those before."""
+    lines = spark.read.options(header=True, inferSchema=True, **options).csv(path)
+    placed = lines.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__at"))
+    sizes = placed.groupBy("__file", "__split").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("__file", "__split").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    bases = sizes.select("__file", "__split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__file", "__split").orderBy("__at")
+    ranked = placed.withColumn("__rank", F.row_number().over(inside) - 1).join(F.broadcast(bases), ["__file", "__split"])
+    return ranked.select(*lines.columns, (F.col("__base") + F.col("__rank")).cast("long").alias(ROW_INDEX))
 
 
 def prepare(out: str | Path, overwrite: bool) -> Path:
@@ -70,29 +80,46 @@ def _statistics(df: DataFrame, time_column: str | None) -> dict[str, Column]:
     return out
 
 
+def hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, sha256, size of files, read by the executors a megabyte at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                h, size = hashlib.sha256(), 0
+                with open(path, "rb") as f:
+                    while chunk := f.read(1 << 20):
+                        h.update(chunk)
+                        size += len(chunk)
+                yield pa.RecordBatch.from_pydict({"path": [path], "sha256": [h.hexdigest()], "size": pa.array([size], pa.int64())})
+
+    tasks = max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks).mapInArrow(run, "path string, sha256 string, size long")
+
+
 def _manifest(spark, out: Path, df: DataFrame, geometry: Geometry, survey_name, survey_type, partitioning, temporal, validity, time_column, originals, kwargs, loader, extra, stats=None) -> Manifest:
-    """Statistics of every written file in one job over the files themselves; hashes and sizes on the driver."""
+    """Statistics of every written file in one job over the files themselves, hashes and sizes in another."""
     files = sorted(p for p in (out / "data").rglob("*.parquet"))
-    found = {}
+    found, hashed = {}, {}
     if files:
         # the data's row carries its file's name; a partition directory must not turn into a column here
         written = spark.read.option("recursiveFileLookup", "true").parquet(str(out / "data"))
         measures = (stats or _statistics)(written, time_column)
         rows = written.groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in measures.items()]).collect()
         found = {Path(r["f"]).parent.name + "/" + Path(r["f"]).name: r.asDict() for r in rows}
+        hashed = {r["path"]: r for r in hashes(spark, [str(p) for p in files]).collect()}
     parts = []
     for p in files:
         r = found.get(f"{p.parent.name}/{p.name}", {"n": 0})
         pairs = {k[:-3]: [v, r[f"{k[:-3]}_hi"]] for k, v in r.items() if k.endswith("_lo")}
         cell = int(p.parent.name.split("=")[1]) if "=" in p.parent.name else None
-        parts.append(Partition(str(p.relative_to(out)), r["n"], hash_file(p), p.stat().st_size, pairs, cell))
+        parts.append(DataFile(str(p.relative_to(out)), r["n"], cell, pairs, hashed[str(p)]["size"], hashed[str(p)]["sha256"][:16]))
     if temporal is None and time_column and time_column in df.columns and parts:
-        ranges = [p.stats["t"] for p in parts if p.stats.get("t") and None not in p.stats["t"]]
+        ranges = [p.ranges["t"] for p in parts if p.ranges.get("t") and None not in p.ranges["t"]]
         if ranges:
             temporal = Temporal(min(r[0] for r in ranges), max(r[1] for r in ranges), time_column)
-    created = now_utc()
-    columns = tuple({"name": f.name, "dtype": f.dataType.simpleString()} for f in df.schema.fields)
-    manifest = Manifest(geometry, survey_name, survey_type, created, tuple(parts), columns, tuple(originals), partitioning, kwargs or {}, loader or {}, extra or {}, temporal, validity or Validity(created))
+    written = now_utc()
+    manifest = Manifest(survey_name, survey_type, geometry, tuple(parts), df.schema, partitioning or {}, temporal, validity or Validity(written), tuple(originals), {"loader": loader or {}, "options": kwargs or {}}, extra or {}, written)
     write_manifest(out, manifest)
     return manifest
 
@@ -114,14 +141,17 @@ def write_dataset(df: DataFrame, out: str | Path, survey_name: str, survey_type:
         objects.write.option("compression", compression).parquet(str(out / "objects"))
     partitioning = None
     if geometry is Geometry.POINT:
-        df = standard_columns(df)
-        nside = nside or cell_nside(df.count())
-        partitioning = {"scheme": "healpix", "nside": nside, "ordering": "nested", "column": "healpix_cell"}
-        placed = df.withColumn("healpix_cell", sphere.healpix_nest("ra", "dec", nside))
-        if placed.where("healpix_cell is null").limit(1).count():
+        df = staged(standard_columns(df), "points")  # evaluated once
+        bad = ~(sphere.finite(F.col("ra")) & sphere.finite(F.col("dec")))
+        n, lost = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(bad.cast("int")), F.lit(0))).first()
+        if lost:
             raise ValueError("rows without a finite position cannot be placed")
-        name = F.format_string("%05d", F.col("healpix_cell"))
-        placed = placed.withColumn("healpix_cell", name).repartition("healpix_cell").sortWithinPartitions("healpix_cell", ROW_INDEX)
+        nside = nside or cell_nside(n)
+        partitioning = {"scheme": "healpix", "nside": nside, "ordering": "nested", "column": "healpix_cell"}
+        placed = df.withColumn("healpix_cell", F.format_string("%05d", sphere.healpix_nest("ra", "dec", nside)))
+        # by ranges of cell and row number, so that a crowded cell is written by several tasks
+        tasks = max(1, min(n // max(1, rows // 2), 200_000))
+        placed = placed.repartitionByRange(tasks, "healpix_cell", ROW_INDEX).sortWithinPartitions("healpix_cell", ROW_INDEX)
         placed.write.option("compression", compression).option("maxRecordsPerFile", rows).partitionBy("healpix_cell").parquet(str(out / "data"))
         time_column = time_column or ("t_obs" if "t_obs" in df.columns else None)
     else:
@@ -131,7 +161,11 @@ def write_dataset(df: DataFrame, out: str | Path, survey_name: str, survey_type:
     for marker in list(out.rglob("_SUCCESS")) + list(out.rglob("*.crc")):
         marker.unlink()
     extra = dict(extra or {}) | ({"has_objects_table": True} if objects is not None else {})
-    return _manifest(spark, out, df, geometry, survey_name, survey_type, partitioning, temporal, validity, time_column, original_files, conversion_kwargs, loader, extra, stats)
+    manifest = _manifest(spark, out, df, geometry, survey_name, survey_type, partitioning, temporal, validity, time_column, original_files, conversion_kwargs, loader, extra, stats)
+    if geometry is Geometry.POINT:
+        discard(df)
+    log.info("%s: %d rows in %d files", survey_name, manifest.n_rows, manifest.n_partitions)
+    return manifest
 
 
 def write_sightlines(objects: DataFrame, data: DataFrame, out, survey_name: str, survey_type: str = "spectroscopic", **options) -> Manifest:

@@ -9,12 +9,13 @@ import uuid
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
+from pyspark.sql import types as T
+
 from .schema import Geometry
-from .validity import Temporal, Validity
+from .validity import Temporal, Validity, now_utc
 
-VERSION = "2.1.0"
+VERSION = 1
 NAME = "manifest.json"
-REQUIRED = ("format_version", "geometry", "survey_name", "survey_type", "created_utc", "original_files", "partitions", "partitioning", "columns", "conversion_kwargs", "loader")
 
 
 class ManifestError(ValueError):
@@ -22,49 +23,77 @@ class ManifestError(ValueError):
 
 
 @dataclass(frozen=True)
-class Partition:
-    """One data file.  stats: {"ra": [min, max], ...} of ra, dec, z, t; a missing one never prunes."""
-
-    name: str
-    n_rows: int
+class DataFile:
+    """One Parquet file.  ranges: {"ra": [low, high], ...} of ra, dec, z, t; a missing one never prunes."""
+
+    path: str
+    rows: int
+    cell: int | None = None
+    ranges: dict = field(default_factory=dict)
+    size: int = 0
     sha256: str = ""
-    size_bytes: int = 0
-    stats: dict = field(default_factory=dict)
-    healpix_cell: int | None = None
 
 
 @dataclass(frozen=True)
 class Manifest:
-    geometry: Geometry
+    """schema: Spark's own description of the data's columns.  layout: how rows are dealt to files.  sources: the raw
+    files.  made_by: loader and its options.  notes: what a geometry needs besides."""
+
     survey_name: str
     survey_type: str
-    created_utc: str
-    partitions: tuple[Partition, ...]
-    columns: tuple[dict, ...] = ()
-    original_files: tuple[dict, ...] = ()
-    partitioning: dict | None = None
-    conversion_kwargs: dict = field(default_factory=dict)
-    loader: dict = field(default_factory=dict)
-    extra: dict = field(default_factory=dict)
-    temporal: Temporal | None = None
+    geometry: Geometry
+    files: tuple[DataFile, ...]
+    schema: T.StructType = field(default_factory=T.StructType)
+    layout: dict = field(default_factory=dict)
+    observed: Temporal | None = None
     validity: Validity | None = None
-    format_version: str = VERSION
+    sources: tuple[dict, ...] = ()
+    made_by: dict = field(default_factory=dict)
+    notes: dict = field(default_factory=dict)
+    written: str = field(default_factory=now_utc)
 
     @property
     def n_rows(self) -> int:
-        return sum(p.n_rows for p in self.partitions)
+        return sum(f.rows for f in self.files)
 
     @property
     def n_partitions(self) -> int:
-        return len(self.partitions)
+        return len(self.files)
 
     @property
     def nside(self) -> int | None:
-        return (self.partitioning or {}).get("nside")
+        return self.layout.get("nside")
 
-    def to_dict(self) -> dict:
-        out = {k: v for k, v in self.__dict__.items() if k not in ("geometry", "partitions", "temporal", "validity", "columns", "original_files")}
-        return out | {"geometry": self.geometry.value, "partitions": [asdict(p) for p in self.partitions], "columns": list(self.columns), "original_files": list(self.original_files), "temporal": self.temporal and self.temporal.to_dict(), "validity": self.validity and self.validity.to_dict()}
+    @property
+    def temporal(self) -> Temporal | None:
+        return self.observed
+
+    def state(self) -> dict:
+        return {
+            "astrolane_manifest": VERSION,
+            "survey": {"name": self.survey_name, "type": self.survey_type},
+            "geometry": self.geometry.value,
+            "written": self.written,
+            "valid": self.validity and self.validity.to_dict(),
+            "observed": self.observed and self.observed.to_dict(),
+            "layout": self.layout,
+            "schema": self.schema.jsonValue(),
+            "files": [asdict(f) for f in self.files],
+            "sources": list(self.sources),
+            "made_by": self.made_by,
+            "notes": self.notes,
+        }
+
+    @classmethod
+    def of(cls, state: dict) -> "Manifest":
+        """From state(); without validity a dataset is valid from the time it was written."""
+        if state.get("astrolane_manifest") != VERSION:
+            raise ValueError(f"version {state.get('astrolane_manifest')} cannot be read")
+        valid, observed = state["valid"] or {"valid_from_utc": state["written"]}, state["observed"]
+        return cls(
+            state["survey"]["name"], state["survey"]["type"], Geometry(state["geometry"]), tuple(DataFile(**f) for f in state["files"]), T.StructType.fromJson(state["schema"]), state["layout"],
+            Temporal(**observed) if observed else None, Validity(**valid), tuple(state["sources"]), state["made_by"], state["notes"], state["written"],
+        )
 
 
 def hash_bytes(data: bytes) -> str:
@@ -95,30 +124,16 @@ def write_atomic(path: str | Path, data: str | bytes) -> None:
 
 
 def write_manifest(folder: str | Path, manifest: Manifest) -> None:
-    write_atomic(Path(folder) / NAME, json.dumps(manifest.to_dict(), indent=1, sort_keys=True))
+    write_atomic(Path(folder) / NAME, json.dumps(manifest.state(), indent=1))
 
 
 def read_manifest(folder: str | Path) -> Manifest:
-    """Versions 2.0 and 2.1; a 2.0 manifest without validity is valid from its creation on."""
-    try:
-        raw = json.loads((Path(folder) / NAME).read_text())
-    except (OSError, ValueError) as e:
-        raise ManifestError(f"{folder}: {e}") from e
-    if not isinstance(raw, dict):
-        raise ManifestError(f"{folder}: not an object")
-    missing = [k for k in REQUIRED if k not in raw]
-    if missing:
-        raise ManifestError(f"{folder}: missing {missing}")
-    version = str(raw["format_version"])
-    if not version.startswith(("2.0", "2.1")):
-        raise ManifestError(f"{folder}: version {version} cannot be read")
     try:
-        validity = raw.get("validity")
-        if validity is None and version.startswith("2.0"):
-            validity = {"valid_from_utc": raw["created_utc"]}
-        return Manifest(
-            Geometry(raw["geometry"]), raw["survey_name"], raw["survey_type"], raw["created_utc"], tuple(Partition(**p) for p in raw["partitions"]), tuple(raw["columns"]), tuple(raw["original_files"]), raw["partitioning"], raw["conversion_kwargs"], raw["loader"],
-            raw.get("extra") or {}, Temporal(**raw["temporal"]) if raw.get("temporal") else None, Validity(**validity) if validity else None, version,
-        )
-    except (TypeError, ValueError, KeyError) as e:
-        raise ManifestError(f"{folder}: {e}") from e
+        return Manifest.of(json.loads((Path(folder) / NAME).read_text()))
+    except (OSError, ValueError, TypeError, KeyError, AttributeError) as e:
+        raise ManifestError(f"{folder}: {type(e).__name__} {e}") from e
+
+
+def has_manifest(folder: str | Path) -> bool:
+    """Whether a folder holds a finished dataset."""
+    return (Path(folder) / NAME).is_file()

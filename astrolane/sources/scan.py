@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.selection import Cone, SkyPatch, cells_of, in_range
-from .manifest import Manifest, Partition, read_manifest
+from .manifest import DataFile, Manifest, read_manifest
 from .schema import Geometry
 
 ROW_INDEX = "_original_row_index"
 
 
-def _overlaps(p: Partition, name: str, wanted: tuple | None) -> bool:
-    have = p.stats.get(name)
+def _overlaps(p: DataFile, name: str, wanted: tuple | None) -> bool:
+    have = p.ranges.get(name)
     if wanted is None or not have or None in have:
         return True
     low, high = wanted
@@ -34,6 +34,8 @@ class DatasetView:
     def open(cls, spark: SparkSession, path: str | Path) -> "DatasetView":
         return cls(spark, Path(path), read_manifest(path))
 
+    from_path = open
+
     @property
     def geometry(self) -> Geometry:
         return self.manifest.geometry
@@ -48,17 +50,17 @@ class DatasetView:
 
     @property
     def columns(self) -> list[str]:
-        return [c["name"] for c in self.manifest.columns]
+        return self.manifest.schema.names
 
     @property
     def survey_name(self) -> str:
         return self.manifest.survey_name
 
-    def pruned(self, cells: list[int] | None = None, ra=None, dec=None, z=None, t=None) -> list[Partition]:
+    def pruned(self, cells: list[int] | None = None, ra=None, dec=None, z=None, t=None) -> list[DataFile]:
         """The files that can hold rows of the cells and ranges."""
         wanted = None if cells is None else set(cells)
-        keep = lambda p: (wanted is None or p.healpix_cell is None or p.healpix_cell in wanted) and all(_overlaps(p, n, r) for n, r in (("ra", ra), ("dec", dec), ("z", z), ("t", t)))
-        return [p for p in self.manifest.partitions if keep(p)]
+        keep = lambda p: (wanted is None or p.cell is None or p.cell in wanted) and all(_overlaps(p, n, r) for n, r in (("ra", ra), ("dec", dec), ("z", z), ("t", t)))
+        return [p for p in self.manifest.files if keep(p)]
 
     def scan(self, columns: list[str] | None = None, filter: Column | str | None = None, *, ra_range=None, dec_range=None, z_range=None, t_range=None, cone: Cone | None = None, skypatch: SkyPatch | None = None, healpix_cells: list[int] | None = None, narrow_cells: bool = False) -> DataFrame:
         """Rows that satisfy everything given.  The cells of a cone, a patch and an explicit list are united for
@@ -82,10 +84,10 @@ class DatasetView:
             rows = rows.where(reduce(lambda a, b: a & b, tests))
         return rows.select(*columns) if columns is not None else rows
 
-    def _files(self, parts: list[Partition]) -> DataFrame:
+    def _files(self, parts: list[DataFile]) -> DataFrame:
         if not parts:
-            return self.spark.read.parquet(str(self.path / self.manifest.partitions[0].name)).where(F.lit(False)) if self.manifest.partitions else self.spark.createDataFrame([], ", ".join(f"`{c['name']}` {c['dtype']}" for c in self.manifest.columns))
-        return self.spark.read.parquet(*[str(self.path / p.name) for p in parts])
+            return self.spark.createDataFrame([], self.manifest.schema)
+        return self.spark.read.schema(self.manifest.schema).parquet(*[str(self.path / p.path) for p in parts])
 
     def read(self, *args, **kwargs):
         """scan() as a pandas frame."""
@@ -103,17 +105,27 @@ class DatasetView:
 
 
 def read_points(spark: SparkSession, path: str | Path, columns: list[str] | None = None, filter=None) -> DataFrame:
-    """All files of a dataset, with the stable row number under the name row_index as well."""
-    rows = DatasetView.open(spark, path).scan(filter=filter)
+    """All files of a dataset in the order of their row numbers, which are there under the name row_index as well."""
+    view = DatasetView.open(spark, path)
+    rows = view.scan(filter=filter)
+    rows = rows.withColumn("row_index", F.col(ROW_INDEX)).orderBy(ROW_INDEX) if ROW_INDEX in view.columns else rows
     return rows.select(*columns) if columns else rows
 
 
+def read_objects(spark: SparkSession, path: str | Path, columns: list[str] | None = None) -> DataFrame:
+    """The objects table of a dataset that says it has one."""
+    view = DatasetView.open(spark, path)
+    if not view.manifest.notes.get("has_objects_table"):
+        raise ValueError(f"{path} has no objects table")
+    return view.objects(columns)
+
+
 def original_columns(spark: SparkSession, path: str | Path, columns: list[str], row_indices: list[int] | DataFrame) -> DataFrame:
     """Columns of the dataset's first original file for some row numbers, joined on the number of the row."""
     from .fits import read_fits
     from .ingest import numbered_csv
 
-    files = read_manifest(path).original_files
+    files = read_manifest(path).sources
     if not files:
         raise ValueError("the manifest names no original file")
     first = files[0]

@@ -23,23 +23,106 @@ class ColumnSpec:
     required: bool = True
 
 
-#: The columns of each group, "name type unit"; ? marks an optional one.
-_GROUPS = {
-    "core": "ra f8 deg, dec f8 deg, z f4, z_type U8, z_err f4, galaxy_id i8, survey_id U32, _original_row_index i8, _healpix32 i4",
-    "spectroscopic": "z_spec f4, z_spec_err f4, z_helio? f4, z_cmb? f4, cz_cmb? f4 km/s, w_fkp? f4, w_comp? f4, w_cp? f4, w_noz? f4, w_sys? f4, w_tot? f4",
-    "photometric": "z_phot f4, z_phot_err f4, z_phot_l68? f4, z_phot_u68? f4, odds? f4",
-    "peculiar_velocity": "v_pec f4 km/s, v_pec_err f4 km/s, mu? f4 mag, mu_err? f4 mag, mu_method? U8",
-    "qso": "is_qso i1, source_z? U16, z_pipe? f8, z_pca? f8, z_vi? f8, z_conf? i1, zwarning? i4, bal_prob? f4, bi_civ? f8 km/s, z_mgii? f8, z_ciii? f8, z_civ? f8, z_lya? f8, psfmag_u? f4 mag, psfmag_g? f4 mag, psfmag_r? f4 mag, psfmag_i? f4 mag, psfmag_z? f4 mag, extinction_u? f4 mag, extinction_g? f4 mag, extinction_r? f4 mag, extinction_i? f4 mag, extinction_z? f4 mag, plate? i4, mjd? i4 d, fiberid? i2, sn_median? f4, n_dla? i1",
-    "snia": "z_cmb f4, mu f4 mag, mu_err f4 mag, x1? f4, x1_err? f4, c? f4, c_err? f4, mb? f4 mag, mb_err? f4 mag",
+#: The columns of each group.
+GROUPS: dict[str, tuple[ColumnSpec, ...]] = {
+    "core": (
+        ColumnSpec("ra", "f8", "deg"),
+        ColumnSpec("dec", "f8", "deg"),
+        ColumnSpec("z", "f4"),
+        ColumnSpec("z_type", "U8"),
+        ColumnSpec("z_err", "f4"),
+        ColumnSpec("galaxy_id", "i8"),
+        ColumnSpec("survey_id", "U32"),
+        ColumnSpec("_original_row_index", "i8"),
+        ColumnSpec("_healpix32", "i4"),
+    ),
+    "spectroscopic": (
+        ColumnSpec("z_spec", "f4"),
+        ColumnSpec("z_spec_err", "f4"),
+        ColumnSpec("z_helio", "f4", required=False),
+        ColumnSpec("z_cmb", "f4", required=False),
+        ColumnSpec("cz_cmb", "f4", "km/s", required=False),
+        ColumnSpec("w_fkp", "f4", required=False),
+        ColumnSpec("w_comp", "f4", required=False),
+        ColumnSpec("w_cp", "f4", required=False),
+        ColumnSpec("w_noz", "f4", required=False),
+        ColumnSpec("w_sys", "f4", required=False),
+        ColumnSpec("w_tot", "f4", required=False),
+    ),
+    "photometric": (
+        ColumnSpec("z_phot", "f4"),
+        ColumnSpec("z_phot_err", "f4"),
+        ColumnSpec("z_phot_l68", "f4", required=False),
+        ColumnSpec("z_phot_u68", "f4", required=False),
+        ColumnSpec("odds", "f4", required=False),
+    ),
+    "peculiar_velocity": (
+        ColumnSpec("v_pec", "f4", "km/s"),
+        ColumnSpec("v_pec_err", "f4", "km/s"),
+        ColumnSpec("mu", "f4", "mag", required=False),
+        ColumnSpec("mu_err", "f4", "mag", required=False),
+        ColumnSpec("mu_method", "U8", required=False),
+    ),
+    "qso": (
+        ColumnSpec("is_qso", "i1"),
+        ColumnSpec("source_z", "U16", required=False),
+        ColumnSpec("z_pipe", "f8", required=False),
+        ColumnSpec("z_pca", "f8", required=False),
+        ColumnSpec("z_vi", "f8", required=False),
+        ColumnSpec("z_conf", "i1", required=False),
+        ColumnSpec("zwarning", "i4", required=False),
+        ColumnSpec("bal_prob", "f4", required=False),
+        ColumnSpec("bi_civ", "f8", "km/s", required=False),
+        ColumnSpec("z_mgii", "f8", required=False),
+        ColumnSpec("z_ciii", "f8", required=False),
+        ColumnSpec("z_civ", "f8", required=False),
+        ColumnSpec("z_lya", "f8", required=False),
+        ColumnSpec("psfmag_u", "f4", "mag", required=False),
+        ColumnSpec("psfmag_g", "f4", "mag", required=False),
+        ColumnSpec("psfmag_r", "f4", "mag", required=False),
+        ColumnSpec("psfmag_i", "f4", "mag", required=False),
+        ColumnSpec("psfmag_z", "f4", "mag", required=False),
+        ColumnSpec("extinction_u", "f4", "mag", required=False),
+        ColumnSpec("extinction_g", "f4", "mag", required=False),
+        ColumnSpec("extinction_r", "f4", "mag", required=False),
+        ColumnSpec("extinction_i", "f4", "mag", required=False),
+        ColumnSpec("extinction_z", "f4", "mag", required=False),
+        ColumnSpec("plate", "i4", required=False),
+        ColumnSpec("mjd", "i4", "d", required=False),
+        ColumnSpec("fiberid", "i2", required=False),
+        ColumnSpec("sn_median", "f4", required=False),
+        ColumnSpec("n_dla", "i1", required=False),
+    ),
+    "snia": (
+        ColumnSpec("z_cmb", "f4"),
+        ColumnSpec("mu", "f4", "mag"),
+        ColumnSpec("mu_err", "f4", "mag"),
+        ColumnSpec("x1", "f4", required=False),
+        ColumnSpec("x1_err", "f4", required=False),
+        ColumnSpec("c", "f4", required=False),
+        ColumnSpec("c_err", "f4", required=False),
+        ColumnSpec("mb", "f4", "mag", required=False),
+        ColumnSpec("mb_err", "f4", "mag", required=False),
+    ),
 }
 Z_TYPES = ("spec", "phot", "pv", "none")
 
 #: Columns that the tables of a geometry must have.
-_CONTRACTS = {
-    Geometry.POINT: {"data": "ra dec z z_type z_err"},
-    Geometry.SIGHTLINE: {"objects": "sightline_id ra dec z_source survey_id n_pixels", "data": "sightline_id loglam delta weight"},
-    Geometry.HEALPIX: {"data": "healpix_index value"},
-    Geometry.LIGHTCURVE: {"objects": "object_id ra dec z z_type z_err n_epochs mjd_min mjd_max _healpix32", "data": "object_id mjd filter flux flux_err flag"},
+CONTRACTS: dict[Geometry, dict[str, tuple[str, ...]]] = {
+    Geometry.POINT: {
+        "data": ("ra", "dec", "z", "z_type", "z_err"),
+    },
+    Geometry.SIGHTLINE: {
+        "objects": ("sightline_id", "ra", "dec", "z_source", "survey_id", "n_pixels"),
+        "data": ("sightline_id", "loglam", "delta", "weight"),
+    },
+    Geometry.HEALPIX: {
+        "data": ("healpix_index", "value"),
+    },
+    Geometry.LIGHTCURVE: {
+        "objects": ("object_id", "ra", "dec", "z", "z_type", "z_err", "n_epochs", "mjd_min", "mjd_max", "_healpix32"),
+        "data": ("object_id", "mjd", "filter", "flux", "flux_err", "flag"),
+    },
 }
 #: Rows per file.
 CHUNK_ROWS = {Geometry.POINT: 200_000, Geometry.SIGHTLINE: 2_000_000, Geometry.HEALPIX: 500_000, Geometry.LIGHTCURVE: 1_000_000}
@@ -47,17 +130,6 @@ CHUNK_ROWS = {Geometry.POINT: 200_000, Geometry.SIGHTLINE: 2_000_000, Geometry.H
 _SPARK = {"f8": T.DoubleType(), "f4": T.FloatType(), "i8": T.LongType(), "i4": T.IntegerType(), "i2": T.ShortType(), "i1": T.ByteType()}
 
 
-def _parse(text: str) -> tuple[ColumnSpec, ...]:
-    out = []
-    for item in text.split(", "):
-        name, dtype, *unit = item.split()
-        out.append(ColumnSpec(name.rstrip("?"), dtype, unit[0] if unit else "", not name.endswith("?")))
-    return tuple(out)
-
-
-GROUPS = {name: _parse(text) for name, text in _GROUPS.items()}
-
-
 def spark_type(dtype: str) -> T.DataType:
     return T.StringType() if dtype.startswith("U") else _SPARK[dtype]
 
@@ -85,9 +157,9 @@ def validate(df, groups: tuple[str, ...], ignore: tuple[str, ...] = ("_original_
 
 
 def check_contract(columns: list[str], geometry: Geometry, table: str = "data") -> None:
-    wanted = _CONTRACTS[geometry].get(table)
+    wanted = CONTRACTS[geometry].get(table)
     if wanted is None:
         raise ValueError(f"{geometry.value} datasets have no {table} table")
-    missing = [c for c in wanted.split() if c not in columns]
+    missing = [c for c in wanted if c not in columns]
     if missing:
         raise ValueError(f"{geometry.value} {table} lacks {missing}")

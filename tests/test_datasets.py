@@ -23,7 +23,7 @@ def test_pruned_scans_equal_full_filters(spark, tmp_path):
     rows = points(spark).cache()
     manifest = ingest.write_dataset(rows, tmp_path / "d", "dummy", "test", nside=4)
     view = DatasetView.open(spark, tmp_path / "d")
-    assert manifest.n_rows == view.n_rows == 400 and view.n_partitions == rows.select(F.expr("count(distinct galaxy_id)")).count() * len(manifest.partitions)
+    assert manifest.n_rows == view.n_rows == 400 and view.n_partitions == rows.select(F.expr("count(distinct galaxy_id)")).count() * len(manifest.files)
     for s, kw in ((Cone(180, 0, 25), "cone"), (SkyPatch(340, 30, -40, 40), "skypatch")):
         got = {r[0] for r in view.scan(["galaxy_id"], **{kw: s}).collect()}
         assert got == {r[0] for r in rows.where(s.column()).select("galaxy_id").collect()}
@@ -46,7 +46,7 @@ def test_sightlines_maps_and_light_curves(spark, tmp_path):
     pixels = spark.createDataFrame([(1, 3.5, 0.1, 1.0), (1, 3.6, 0.2, 1.0)], "sightline_id long, loglam double, delta double, weight double")
     ingest.write_sightlines(lines, pixels, tmp_path / "s", "lya")
     view = DatasetView.open(spark, tmp_path / "s")
-    assert view.scan().join(view.objects(), "sightline_id").count() == 2 and view.manifest.extra["has_objects_table"]
+    assert view.scan().join(view.objects(), "sightline_id").count() == 2 and view.manifest.notes["has_objects_table"]
     ingest.write_sky_map(spark.range(3072).selectExpr("id AS healpix_index", "1.0D AS value"), tmp_path / "m", "map", nside=16)
     assert DatasetView.open(spark, tmp_path / "m").scan(healpix_cells=[1, 2]).count() == 2
     objects = spark.createDataFrame([(1, 1.0, 2.0, 0.1, "spec", 1e-3)], "object_id long, ra double, dec double, z double, z_type string, z_err double")
@@ -66,10 +66,10 @@ def test_manifests_reject_what_they_cannot_read(spark, tmp_path):
     ingest.write_dataset(points(spark, 20), tmp_path / "d", "dummy", "test")
     path = tmp_path / "d" / NAME
     good = json.loads(path.read_text())
-    old = good | {"format_version": "2.0.1", "validity": None}
+    old = good | {"valid": None}
     write_atomic(path, json.dumps(old))
-    assert read_manifest(tmp_path / "d").validity.valid_from_utc == good["created_utc"]
-    for bad in ("{", "[]", json.dumps(good | {"format_version": "3.0.0"}), json.dumps({k: v for k, v in good.items() if k != "partitions"}), json.dumps(good | {"geometry": "disc"})):
+    assert read_manifest(tmp_path / "d").validity.valid_from_utc == good["written"]
+    for bad in ("{", "[]", json.dumps(good | {"astrolane_manifest": 3}), json.dumps({k: v for k, v in good.items() if k != "files"}), json.dumps(good | {"geometry": "disc"})):
         write_atomic(path, bad)
         with pytest.raises(ManifestError):
             read_manifest(tmp_path / "d")
