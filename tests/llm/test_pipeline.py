@@ -17,12 +17,14 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
         labels.append((i, 0 if bad else 1, int(toxic)))
         if not toxic and not bad:
             want.add(i)
-    rows += [(1000 + i, rows[i][1] + " end") for i in (2, 3, 6)] + [(2000, rows[7][1]), (7, rows[7][1])]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "extra") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score string")
+    unlike = " ".join(rng.choice(words, 40))
+    rows += [(1000 + i, rows[i][1] + " end") for i in (2, 3, 6)] + [(2000, rows[7][1]), (7, rows[7][1]), (3000, None), (3001, ""), (10, unlike)]
+    want |= {3000, 3001}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "extra") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r["doc_id"] for r in got} == want and len(got) == len(want)
+    assert {r["doc_id"] for r in got} == want and len(got) == len(want) + 1  # id 10 stands for two documents
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality classifier", "n-gram Jaccard join", "best-fit packing"]
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
