@@ -524,10 +524,10 @@ def lightcurve_objects(spark, sf):
     return ingest.epoch_statistics(objects, epochs).select("object_id", F.col("n_epochs").cast("long").alias("n_epochs"), "mjd_min", "mjd_max")
 
 
-@query("SELECT DISTINCT user_id AS object_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT user_id AS object_id FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)")
 def lightcurve_orphans(spark, sf):
     _, epochs = _light_curves(spark, sf)
-    return ingest.orphan_epochs(_table(spark, sf, "orders").select(F.col("o_custkey").alias("object_id")), epochs)
+    return ingest.orphan_epochs(_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("object_id")), epochs)
 
 
 @query("SELECT vec_id AS sightline_id, label, count(*) AS n_pixels, round(sum(d * w) / sum(w), 6) AS mean_delta FROM (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS d, 1e0 + (generate_subscripts(embedding, 1) - 1) % 5 AS w FROM embeddings) GROUP BY ALL")
