@@ -94,15 +94,13 @@ class Batch:
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[self.starts] = self.start
-        codes, of_token = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
-        context, word = codes // len(self.words), codes % len(self.words)
-        a, b = self.words[context], self.words[word]
+        a, b = self.words[before], self.words[self.tokens]
         keys = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b
         keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        order = np.argsort(keys)
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        return keys[order], context[order], word[order], rank[of_token]
+        keys, of_token = np.unique(keys, return_inverse=True)
+        context, word = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        context[of_token], word[of_token] = before, self.tokens
+        return keys, context, word, of_token
 
     def triples(self, of_token: np.ndarray):
         """Per distinct triple, by first pair and last word: the place of its first pair, its word; the tokens that
@@ -150,6 +148,14 @@ def unpacked_counts(n: int, data: bytes) -> np.ndarray:
     return out
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, the place of each value among them, and where each is met first."""
+    distinct, inverse = np.unique(values, return_inverse=True)
+    first = np.empty(len(distinct), np.int64)
+    first[inverse[::-1]] = np.arange(len(values) - 1, -1, -1)  # the last one written is the first one met
+    return distinct, inverse, first
+
+
 def ask(batches: DataFrame, level: int, parts: int) -> DataFrame:
     """Each batch's distinct words (level 1) or pairs (level 2) with their counts in its training texts."""
 
@@ -183,7 +189,7 @@ def counted(asked: DataFrame) -> DataFrame:
         rows = sorted(rows_of(table), key=lambda r: r["batch"])
         keys = [unpacked_keys(r["width"], r["keys"]) for r in rows]
         counts = [unpacked_counts(len(k), r["counts"]) for k, r in zip(keys, rows, strict=True)]
-        distinct, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        distinct, inverse, first = numbered(np.concatenate(keys))
         total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
         owner = np.zeros(len(inverse), bool)
         owner[first] = True
@@ -222,14 +228,12 @@ def discounts(n: list[int], limit: int = GT_LIMIT) -> np.ndarray:
     return d
 
 
-def replies_in_order(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
+def replies_in_order(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The answers to one batch, one after another in the order of its keys."""
     counts, owner = [], []
     for r in sorted(rows_of(table), key=lambda r: r["part"]):
         counts.append(unpacked_counts(r["n"], r["counts"]))
         owner.append(np.unpackbits(np.frombuffer(r["owner"], np.uint8), count=r["n"]).astype(bool))
-    if not counts:
-        return np.zeros(n, np.int64), np.zeros(n, bool)
     return np.concatenate(counts), np.concatenate(owner)
 
 
@@ -241,11 +245,9 @@ def with_counts(batches: DataFrame, replies: DataFrame) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = rows_of(left)[0]
-        batch = Batch(row)
-        keys, *_ = batch.pairs()
         levels = right.column("level").to_numpy()
-        c1, _ = replies_in_order(right.filter(pa.array(levels == 1)), len(batch.words))
-        c2, owner = replies_in_order(right.filter(pa.array(levels == 2)), len(keys))
+        c1, _ = replies_in_order(right.filter(pa.array(levels == 1)))
+        c2, owner = replies_in_order(right.filter(pa.array(levels == 2)))
         out = row | {"word_counts": packed_counts(c1), "pair_counts": packed_counts(c2), "owner": np.packbits(owner).tobytes()}
         types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), *[pa.binary()] * 5]
         return pa.Table.from_arrays([pa.array([out[f]], t) for f, t in zip(_FIELDS, types, strict=True)], names=_FIELDS)
@@ -301,7 +303,7 @@ def backoff_weights(asked: DataFrame) -> DataFrame:
         rows = sorted(rows_of(table), key=lambda r: r["batch"])
         keys = [unpacked_keys(r["width"], r["keys"]) for r in rows]
         counts = np.concatenate([unpacked_counts(len(k), r["counts"]) for k, r in zip(keys, rows, strict=True)])
-        distinct, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        distinct, inverse, first = numbered(np.concatenate(keys))
         seen, lower = (np.bincount(inverse, weights=np.concatenate([np.frombuffer(r[c]) for r in rows]), minlength=len(distinct)) for c in ("seen", "lower"))
         alpha = np.log10((1 - seen / (counts[first] + 0.5)) / (1 - lower))[inverse]
         stops = np.cumsum([len(k) for k in keys])
@@ -328,8 +330,8 @@ def ask_triples(states: DataFrame, parts: int, turn: int, rounds: int) -> DataFr
                 counts = np.bincount(of_end[batch.token_train[at]], minlength=len(pair))
                 tail = np.zeros(len(pair), np.int64)
                 tail[of_end] = of_token[at]  # the pair of a triple's last two words
-                used, followers = np.unique(pair, return_counts=True)
-                stops = np.concatenate([[0], np.cumsum(followers)])
+                stops = np.append(np.flatnonzero(np.diff(pair, prepend=-1)), len(pair))  # triples are in order of their first pair
+                used, followers = pair[stops[:-1]], np.diff(stops)
                 short = (batch.words >> np.uint64(24))[last].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
                 borders, columns = split_keys(keys[used], parts), [[] for _ in range(9)]
                 for part in np.flatnonzero(np.diff(borders)).tolist():
@@ -363,7 +365,7 @@ def counted_triples(asked: DataFrame, d2: np.ndarray) -> DataFrame:
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :5] = raw
         codes = of_key[of_context].astype(np.uint64) << np.uint64(40) | wide.view("<u8").ravel()
-        distinct, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
+        distinct, inverse, first = numbered(codes)
         total = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)
         key, seen = (distinct >> np.uint64(40)).astype(np.int64), total > 0
         c2 = pair_counts[first]
