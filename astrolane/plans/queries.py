@@ -258,17 +258,17 @@ def _long(spark, sf):
 
 def _rounded(df: DataFrame, digits: int = 5) -> DataFrame:
     # the shift keeps decimal fractions such as 0.125 away from the middle between two rounded values
-    return df.select("uid", F.round(F.col("value") + 3.7e-6, digits).alias("value"), *[F.round(c, digits).alias(c) for c in ("variance", "weight")], F.col("n_surveys").cast("long").alias("n_surveys"), "surveys")
+    return df.select("uid", F.round(F.col("value") + 3.7e-6, digits).alias("value"), *[F.round(F.col(c) + 3.7e-6, digits).alias(c) for c in ("variance", "weight")], F.col("n_surveys").cast("long").alias("n_surveys"), "surveys")
 
 
-def _combined_sql(weight: str, variance: str = "round(1 / sum(w), 5)", digits: int = 5) -> str:
-    return f"SELECT uid, round(sum(w * value) / sum(w) + 37e-7, {digits}) AS value, {variance} AS variance, round(sum(w), {digits}) AS weight, count(DISTINCT survey) AS n_surveys, string_agg(DISTINCT survey, ',' ORDER BY survey) AS surveys FROM (SELECT *, {weight} AS w FROM {_LONG} l) GROUP BY uid"
+def _combined_sql(weight: str, variance: str = "round(1 / sum(w) + 37e-7, 5)", digits: int = 5) -> str:
+    return f"SELECT uid, round(sum(w * value) / sum(w) + 37e-7, {digits}) AS value, {variance} AS variance, round(sum(w) + 37e-7, {digits}) AS weight, count(DISTINCT survey) AS n_surveys, string_agg(DISTINCT survey, ',' ORDER BY survey) AS surveys FROM (SELECT *, {weight} AS w FROM {_LONG} l) GROUP BY uid"
 
 
 _BEST = f"(SELECT *, row_number() OVER (PARTITION BY uid ORDER BY variance, survey, value) AS rn FROM {_LONG} l)"
 
 
-@query(f"SELECT b.uid, round(value + 37e-7, 5) AS value, round(variance, 5) AS variance, round(1 / variance, 5) AS weight, n_surveys, surveys FROM {_BEST} b JOIN (SELECT uid, count(DISTINCT survey) AS n_surveys, string_agg(DISTINCT survey, ',' ORDER BY survey) AS surveys FROM {_LONG} l GROUP BY uid) n ON n.uid = b.uid WHERE rn = 1")
+@query(f"SELECT b.uid, round(value + 37e-7, 5) AS value, round(variance + 37e-7, 5) AS variance, round(1 / variance + 37e-7, 5) AS weight, n_surveys, surveys FROM {_BEST} b JOIN (SELECT uid, count(DISTINCT survey) AS n_surveys, string_agg(DISTINCT survey, ',' ORDER BY survey) AS surveys FROM {_LONG} l GROUP BY uid) n ON n.uid = b.uid WHERE rn = 1")
 def combine_best_only(spark, sf):
     return _rounded(cmb.combine(_long(spark, sf), strategy="best_only"))
 
