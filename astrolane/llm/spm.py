@@ -184,7 +184,11 @@ class Codec(HeldChunks):
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids if t else [], np.uint32) for e, t in zip(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)]
 
-    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids one after another, their number per text, and whether the original agrees on the whole text."""
+        return self.coded(texts)[:3]
+
+    def coded(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids one after another, their number per text, whether the original agrees, and whether decoding gives the text back."""
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         empty = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool))
@@ -241,7 +245,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         for batch in batches:
             for at in range(0, len(batch), ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                ids, counts, same, fits = tool.encode(part.column(1))
+                ids, counts, same, fits = tool.coded(part.column(1))
                 stops = np.cumsum(counts)
                 columns = [part.column(0), pa.array(counts), pa.array(checksums(ids, stops, counts), pa.int64()), pa.array(same), pa.array(np.ones(len(same), bool)), pa.array(fits)]
                 columns += [pa.ListArray.from_arrays(pa.array(np.append(0, stops).astype(np.int32)), pa.array(ids.astype(np.int32)))] if with_ids else []

@@ -198,7 +198,7 @@ def test_unigram_model_is_rebuilt(tmp_path):
     theirs = sentencepiece.SentencePieceProcessor(model_file=str(path))
     mine = spm.Codec(str(path))
     texts = ["ab ab", "abba", "a b", "  ab", "c", ""]
-    flat, counts, same, fits = mine.encode(texts)
+    flat, counts, same, fits = mine.coded(texts)
     assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [theirs.encode(t) for t in texts] and same.all() and fits.tolist() == [t != "c" for t in texts]
 
 
