@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_HELD = 1_000_000  # chunks, some 180 bytes each
-BATCH_BYTES = 8 << 20
+MAX_HELD = 300_000  # chunks, some 180 bytes each; workers keep them from task to task
+BATCH_BYTES = 4 << 20
 
 
 class Grown:
