@@ -193,7 +193,7 @@ def manifest_counts(spark, sf):
 @query(f"SELECT {_pixel(4)} AS cell, count(*) AS n_rows, min(ra) AS ra_min, max(ra) AS ra_max, min(dec) AS dec_min, max(dec) AS dec_max, min(z) AS z_min, max(z) AS z_max, min(t_obs) AS t_min, max(t_obs) AS t_max FROM {A} a GROUP BY 1")
 def partition_stats(spark, sf):
     """The statistics that writing the dataset left in its manifest."""
-    rows = [(p.cell, p.rows, *[float(v) for n in ("ra", "dec", "z", "t") for v in p.ranges[n]]) for p in _dataset(spark, sf).manifest.files]
+    rows = [(p.cell, p.rows, *[v if v is None else float(v) for n in ("ra", "dec", "z", "t") for v in p.ranges[n]]) for p in _dataset(spark, sf).manifest.cells()]
     return spark.createDataFrame(rows, "cell long, n_rows long, " + ", ".join(f"{n}_{e} double" for n in ("ra", "dec", "z", "t") for e in ("min", "max")))
 
 

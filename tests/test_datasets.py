@@ -37,6 +37,27 @@ def test_pruned_scans_equal_full_filters(spark, tmp_path):
         view.objects()
 
 
+def test_cells_of_several_files_are_one_in_the_statistics(spark, tmp_path, monkeypatch):
+    from astrolane.plans import queries
+    from astrolane.sources.manifest import DataFile, Manifest
+
+    n, keys = 3000, F.col("id")
+    orders = spark.range(1, n + 1).select(keys.alias("o_orderkey"), F.lit("F").alias("o_orderstatus"), keys.cast("double").alias("o_totalprice"), F.expr("date_add(DATE '1995-01-01', CAST(id % 900 AS INT))").alias("o_orderdate"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setitem(schema.CHUNK_ROWS, Geometry.POINT, 50)
+    cells = {r["cell"]: r for r in queries.partition_stats(spark, str(tmp_path)).collect()}
+    files = queries._dataset(spark, str(tmp_path)).manifest.files
+    rows = queries.cat_a(spark, str(tmp_path)).groupBy(queries.sphere.healpix_nest("ra", "dec", 4).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("ra"), F.max("z"), F.max("t_obs")).collect()
+    assert len(files) > len(cells) == len(rows)
+    for r in rows:
+        got = cells[r["cell"]]
+        assert (got["n_rows"], got["ra_min"], got["z_max"], got["t_max"]) == tuple(r)[1:]
+    assert queries.partition_stats(spark, str(tmp_path)).count() == len(cells)
+    parts = (DataFile("a/1", 2, 7, {"z": [None, None]}), DataFile("a/2", 3, 7, {"z": [0.1, 0.2]}), DataFile("b/1", 1, 8, {"z": [None, None]}))
+    united = Manifest("s", "t", Geometry.POINT, parts).cells()
+    assert [(c.cell, c.rows, c.ranges["z"]) for c in united] == [(7, 5, [0.1, 0.2]), (8, 1, [None, None])]
+
+
 def test_small_catalogs_are_not_over_partitioned():
     assert ingest.cell_nside(17_618) == 1 and ingest.cell_nside(700_000_000) >= 16 and ingest.cell_nside(10**12) == 32
 
