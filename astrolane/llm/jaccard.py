@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import discard, partitions, staged, text_or_empty
+from .common import bitmap_size, bits_set, discard, partitions, staged, text_or_empty
 
 WORDS = 5
 PERCENT = 80
@@ -125,13 +125,8 @@ def id_bitmap(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
 
     It is sized for the number of ids; beyond the bound it lets more of the others through, and no id is lost.
     """
-    n = ids.count()
-    size = min(most_bits, max(1 << 13, 1 << (32 * n).bit_length()))
-    words = ids.selectExpr(f"pmod(xxhash64(id), {size}L) AS bit").selectExpr("bit DIV 64 AS word", "shiftleft(1L, CAST(bit % 64 AS INT)) AS one").groupBy("word").agg(F.bit_or("one").alias("bits"))
-    table = words.toPandas()
-    out = np.zeros(size // 64, np.int64)
-    out[table["word"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64)
-    return out
+    size = bitmap_size(ids.count(), most_bits)
+    return bits_set(ids.selectExpr(f"pmod(xxhash64(id), {size}L) AS bit"), size)
 
 
 def sets_of(docs: DataFrame, bitmap: np.ndarray, words: int) -> DataFrame:

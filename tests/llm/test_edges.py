@@ -325,6 +325,33 @@ def test_near_vectors(spark):
     assert ann.near_vectors(docs.limit(0)).count() == 0
 
 
+def near_group(n, lone, seed=9):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n + lone, 64))
+    base[:n] = base[0] + rng.normal(size=(n, 64)) * 0.07
+    return base / np.linalg.norm(base, axis=1, keepdims=True)
+
+
+def test_pivots_do_not_cut_a_group_of_near_copies(spark):
+    base = near_group(900, 300)
+    classes = spark.createDataFrame([(i, "x", v.tobytes()) for i, v in enumerate(base)], "cls long, label string, vec binary")
+    shards = {r["cls"]: set(r["shards"]) for r in ann.sharded(classes, ann.Settings(shard_rows=64)).collect()}
+    assert len(set.union(*shards.values())) > 1 and set.intersection(*(shards[i] for i in range(900)))
+
+
+def test_vectors_without_neighbours_stay_out_of_the_graph(spark):
+    base = near_group(60, 6000)
+    base[100:160] = base[200:260] + np.random.default_rng(1).normal(size=(60, 64)) * 0.01
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(base)], "vec_id long, embedding array<double>, label int")
+    source = ann.read_rows(rows, "vec_id", "embedding", "label")
+    names = {r["id"]: r["cls"] for r in ann.named(source).collect()}
+    found = {r["cls"] for r in ann.suspects(source, len(base), 0.98, ann.Settings()).collect()}
+    linked = [*range(60), *range(100, 160), *range(200, 260)]
+    assert {names[i] for i in linked} <= found and len(found) < 600
+    hot = {r["cls"] for r in ann.suspects(source, len(base), 0.98, ann.Settings(bucket_most=20)).collect()}
+    assert found <= hot  # a crowded bucket is let through whole
+
+
 def test_repeated_vectors_and_ids(spark):
     v, w, far = [1.0, 0.0, 0.0], [0.999, 0.01, 0.0], [0.0, 1.0, 0.0]
     rows = [(7, v, "x"), (3, v, "x"), (3, v, "x"), (5, w, "x"), (5, far, "x"), (9, v, "y"), (None, v, "x")]
