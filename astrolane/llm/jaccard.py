@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import bitmap_size, bits_set, discard, partitions, staged, text_or_empty
+from .common import bitmap_size, bits_set, discard, partitions, release, staged, text_or_empty
 
 WORDS = 5
 PERCENT = 80
@@ -307,7 +307,7 @@ def chunked(rows: DataFrame, sizes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     exploded = placed.withColumn("task", F.explode(tasks))
     low = F.floor(F.col("task") / F.col("chunks"))
     side = F.when((F.col("chunks") > 1) & (low != F.col("task") % F.col("chunks")) & (F.col("mine") != low), 1).otherwise(0).cast("int")
-    return exploded.select("block", F.col("task").cast("long").alias("task"), side.alias("side"), "id", "component", "n", "points", "keys")
+    return exploded.select("block", F.col("task").cast("long").alias("task"), side.alias("side"), "id", "component")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
@@ -316,29 +316,38 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null and empty texts have no shingles and link with nothing.  Rows that share an id count as one node.  Rows
     without an id keep their n_shingles and have no component.  Equal texts always link.
     """
+    spark = docs.sparkSession
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     keys = staged(keys_of(ids, "id", "text", words), "shingle-keys")
     some = keys.where("signature is not null and id is not null")
     classes = staged(some.groupBy("signature").agg(F.min("id").alias("id")), "classes")
     members = some.join(classes, ["signature", "id"]).dropDuplicates(["signature"])
-    postings = staged(members.select("id", F.explode("keys").alias("block")), "postings")
-    pivots = postings.groupBy("block").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count(F.lit(1)).alias("m")).where("pivot <> last").select("block", "pivot", "m")
-    shared = staged(postings.join(staged(pivots, "pivots"), "block"), "shared-blocks")
-    discard(postings)
-    stars = staged(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    wanted = stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct()
+    postings = staged(members.select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("block")), "postings")
+    pivots = postings.groupBy("block").agg(F.min(F.struct("id", "n")).alias("pivot"), F.max("id").alias("last")).where("pivot.id <> last")
+    pivots = staged(pivots.select("block", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "pivots")
+    shared = staged(postings.join(pivots, "block"), "shared-blocks")
+    discard(postings, pivots)
+    release(spark)
+    fit = F.least("n", "pivot_n") * (100 + percent) >= percent * (F.col("n") + F.col("pivot_n"))  # sets of other sizes cannot link
+    stars = staged(shared.where(F.col("id") != F.col("pivot")).where(fit).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    wanted = staged(shared.select("id").distinct(), "shared-ids")
     sets = staged(sets_of(ids.select("id", text_or_empty("text").alias("text")), id_bitmap(wanted), words), "sets")
+    discard(wanted)
     links = staged(verified(stars, sets, percent), "links")
+    release(spark)
     tested, parts = stars, connected_components(links)
     spent = [shared, sets, stars, links]
     for most in ROUNDS:
         placed = staged(shared.select("block", "id").join(parts.toDF("id", "component"), "id", "left").select("block", "id", F.coalesce("component", "id").alias("component")), "placed")
         mixed = staged(placed.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("block", "m"), "mixed-blocks")
-        rows = placed.join(mixed.select("block"), "block", "left_semi").join(sets.select("id", "n", "points", "keys"), "id")
-        pairs = staged(block_pairs(chunked(rows, mixed, chunk), percent, most).join(tested, ["a", "b"], "left_anti"), "tree-pairs")
-        more = staged(verified(pairs, sets, percent), "links")
+        # rows find their tasks before the points come to them, so points are exchanged once
+        rows = chunked(placed, mixed, chunk).join(sets.select("id", "n", "points", "keys"), "id").select("block", "task", "side", "id", "component", "n", "points", "keys")
+        pairs = staged(block_pairs(rows, percent, most).join(tested, ["a", "b"], "left_anti"), "tree-pairs")
+        needed = staged(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "paired-ids")
+        more = staged(verified(pairs, sets.join(needed, "id", "left_semi"), percent), "links")
         tested = tested.union(pairs)
-        discard(placed, mixed)
+        discard(placed, mixed, needed)
+        release(spark)
         spent += [pairs, more]
         if not more.isEmpty():
             links = links.union(more)

@@ -65,7 +65,11 @@ ORACLE_SQL = None  # the classifiers cannot be expressed in SQL; tests/llm compa
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, spent = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = common.staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if spent is not None:
+            common.discard(spent)  # the next stage's rows are written
+        spent = docs
+        common.release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

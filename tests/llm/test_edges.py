@@ -325,6 +325,25 @@ def test_near_vectors(spark):
     assert ann.near_vectors(docs.limit(0)).count() == 0
 
 
+def test_sets_of_unlike_sizes_are_not_exchanged(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(words[: 40 + 12 * i])) for i in range(30)], "doc_id long, text string")
+    pairs, own = [], jaccard.verified
+
+    def spied(some, sets, percent=80):
+        pairs.extend(tuple(r) for r in some.select("a", "b").collect())
+        return own(some, sets, percent)
+
+    monkeypatch.setattr(jaccard, "verified", spied)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(docs).collect()}
+    size = [36 + 12 * i for i in range(30)]
+    assert pairs and all(min(size[a], size[b]) * 180 >= 80 * (size[a] + size[b]) for a, b in pairs)
+    want = list(range(30))
+    for i in range(1, 30):
+        want[i] = want[i - 1] if 100 * size[i - 1] >= 80 * size[i] else i
+    assert found == dict(enumerate(want))
+
+
 def near_group(n, lone, seed=9):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(n + lone, 64))

@@ -30,3 +30,21 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, empty, str(tmp_path))
         assert out.columns == corpus_pipeline.COLUMNS and out.count() == 0
+
+
+def test_stages_before_the_last_two_leave_no_rows_behind(spark, monkeypatch):
+    kept, gone = [], []
+    staged, discard = corpus_pipeline.common.staged, corpus_pipeline.common.discard
+
+    def stage(name):
+        def run(spark, docs, sf_dir):
+            kept.append(name)
+            return docs
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("one"), stage("two"), stage("three"), stage("four")])
+    monkeypatch.setattr(corpus_pipeline.common, "discard", lambda *frames: (gone.extend(frames), discard(*frames)))
+    monkeypatch.setattr(corpus_pipeline.common, "staged", lambda df, tag: staged(df.limit(20), tag))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert kept == ["one", "two", "three", "four"] and out.count() == 20 and len(gone) == 2
