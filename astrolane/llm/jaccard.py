@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import bitmap_size, bits_set, discard, partitions, release, staged, text_or_empty
+from .common import bitmap_size, bits_set, discard, frugal, partitions, release, staged, text_or_empty
 
 WORDS = 5
 PERCENT = 80
@@ -117,7 +117,7 @@ def keys_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                 keys.append(band_keys(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n_shingles", "signature", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, signature binary, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(frugal(run), "id long, n_shingles long, signature binary, keys array<long>")
 
 
 def id_bitmap(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
@@ -142,7 +142,7 @@ def sets_of(docs: DataFrame, bitmap: np.ndarray, words: int) -> DataFrame:
             found = [shingle_set(t, known, words) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([count_vector(s).tobytes() for s in found], pa.binary()), pa.array([band_keys(s).tobytes() if len(s) else b"" for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "n", "points", "keys", "shingles"])
 
-    return docs.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("bit")).mapInArrow(run, "id long, n long, points binary, keys binary, shingles binary")
+    return docs.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("bit")).mapInArrow(frugal(run), "id long, n long, points binary, keys binary, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -170,7 +170,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                 keep.append(ok)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(frugal(run), "a long, b long")
 
 
 class CountTree:
@@ -294,7 +294,7 @@ def block_pairs(rows: DataFrame, percent: int = PERCENT, most: int | None = None
             yield as_batch(found)
         yield as_batch(tree_pairs(key[0], held, percent, most) if len(held) > 1 else ())
 
-    return rows.repartition(partitions(rows.sparkSession), "block", "task").sortWithinPartitions("block", "task").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(partitions(rows.sparkSession), "block", "task").sortWithinPartitions("block", "task").mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 def chunked(rows: DataFrame, sizes: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .bpe import byte_bpe
 from .chunks import checksums, ended, spans
-from .common import partitions, staged, text_or_empty
+from .common import frugal, partitions, staged, text_or_empty
 
 CAPACITY = 2048
 ROWS_AT_ONCE = 2048
@@ -53,7 +53,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 columns += [pa.ListArray.from_arrays(pa.array(np.append(0, stops).astype(np.int32)), pa.array(ids.astype(np.int32)))] if with_ids else []
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), *columns], names=names)
 
-    return docs.select(id_col, text_or_empty(text_col).alias("text")).mapInArrow(cut, schema)
+    return docs.select(id_col, text_or_empty(text_col).alias("text")).mapInArrow(frugal(cut), schema)
 
 
 def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
@@ -118,7 +118,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
             slot = np.searchsorted(code, length * RANKS + rank, "right") - 1
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(first_seq[slot] + rank - first_rank[slot]), pa.array(offsets[slot])], names=[*names, "sequence_id", "offset"])
 
-    return ranked(pieces, id_col).select(*names, "rank").mapInArrow(place, schema)
+    return ranked(pieces, id_col).select(*names, "rank").mapInArrow(frugal(place), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

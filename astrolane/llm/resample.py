@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, staged, text_or_empty
+from .common import discard, frugal, staged, text_or_empty
 from .toxicity import labelled_sample
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -76,7 +76,7 @@ def count_grams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
-    rows = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(frugal(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(BUCKETS + SHAPES, np.int64)
     for r in rows:
         out[r["bucket"]] = r["n"]
@@ -103,7 +103,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, keep: list[str], seed: int, id_co
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(weights, pa.float64())], names=[*keep, "log_weight"])
 
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weighed = docs.select(*keep, text_or_empty(text_col)).mapInArrow(run, schema)
+    weighed = docs.select(*keep, text_or_empty(text_col)).mapInArrow(frugal(run), schema)
     return weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
 
 

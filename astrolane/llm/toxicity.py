@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, staged, text_or_empty
+from .common import discard, frugal, staged, text_or_empty
 
 TERM = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 22
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 
     # Broadcast: at most max_rows pairs of numbers.
     known = docs.select(id_col, text_or_empty(text_col).alias("text")).join(F.broadcast(sample), id_col)
-    hashed = staged(known.groupBy("text").agg(F.max("label").alias("label")).select("label", "text").mapInArrow(terms, "label int, buckets array<int>"), "terms")
+    hashed = staged(known.groupBy("text").agg(F.max("label").alias("label")).select("label", "text").mapInArrow(frugal(terms), "label int, buckets array<int>"), "terms")
     totals = {r["label"]: r["n"] for r in hashed.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(at[hit], pa.int32()))], names=["label", "hit"])
 
     # at most max_rows lists; put in order here, so that the fit does not depend on the order of tasks
-    rows = [(x.values.to_numpy(), y) for batch in hashed.mapInArrow(places, "label int, hit array<int>").toArrow().to_batches() for x, y in zip(batch.column(1), batch.column(0).to_pylist(), strict=True)]
+    rows = [(x.values.to_numpy(), y) for batch in hashed.mapInArrow(frugal(places), "label int, hit array<int>").toArrow().to_batches() for x, y in zip(batch.column(1), batch.column(0).to_pylist(), strict=True)]
     discard(hashed)
     rows.sort(key=lambda r: (r[0].astype(">u4").tobytes(), r[1]))
     bias, linear, factors = fit_weights([r[0] for r in rows], np.array([r[1] for r in rows]), len(buckets))
@@ -193,7 +193,7 @@ def score(docs: DataFrame, machine: FactorizationMachine, keep: list[str], text_
                 active.append(np.fromiter(found, np.int64, len(found)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(machine.scores(active))], names=[*keep, name])
 
-    return docs.select(*keep, text_or_empty(text_col)).mapInArrow(run, schema)
+    return docs.select(*keep, text_or_empty(text_col)).mapInArrow(frugal(run), schema)
 
 
 def held_out(id_col: str = "doc_id", parts: int = 3):

@@ -48,3 +48,36 @@ def test_stages_before_the_last_two_leave_no_rows_behind(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.common, "staged", lambda df, tag: staged(df.limit(20), tag))
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert kept == ["one", "two", "three", "four"] and out.count() == 20 and len(gone) == 2
+
+
+def test_workers_give_memory_back_when_a_task_ends(spark):
+    """The workers' own count of it after each operator's tasks: they stay for later tasks, whose stages must not come on top."""
+    import pyarrow as pa
+    from astrolane.llm import packing, resample, toxicity
+    from astrolane.llm.queries import tokenizer_path
+
+    docs = spark.createDataFrame([(i, f"word{i} other " * 50) for i in range(64)], "doc_id long, text string").repartition(4)
+    machine = toxicity.FactorizationMachine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, 1)))
+
+    def inside(rows):
+        """Replaces the process's give_back by a count as a task begins; gives the count of the tasks before."""
+
+        def run(batches):
+            from astrolane.llm import common
+
+            done = getattr(common, "done", None)
+            if done is None:
+                common.done = done = []
+                common.give_back = lambda f=common.give_back: (done.append(1), f())
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([len(done)])], names=["n"])
+
+        return max(r["n"] for r in rows.mapInArrow(run, "n long").collect())
+
+    last = inside(docs)
+    for make in (lambda: packing.token_pieces(docs, tokenizer_path()), lambda: toxicity.score(docs, machine, ["doc_id"]), lambda: resample.weigh(docs, np.zeros(resample.BUCKETS + resample.SHAPES), ["doc_id"], 1)):
+        for _ in range(3):
+            make().count()
+        now = inside(docs)
+        assert now > last
+        last = now
