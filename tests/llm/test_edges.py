@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from astrolane.llm import ann, coder, jaccard, packing, resample, spm, toxicity, warc, webp
+from astrolane.llm import ann, bpe, coder, jaccard, packing, resample, spm, toxicity, warc, webp
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 LONG = "word another thing " * 3000
@@ -458,3 +458,34 @@ def test_parting_costs_least():
     w, good = rng.normal(size=60), rng.random(60) < 0.5
     cost = lambda cut: (5 * (good & (w < cut)) + (~good & (w >= cut))).sum()
     assert cost(resample.parting(w, good.astype(int))) == min(map(cost, [-np.inf, *(np.sort(w) + 1e-9)]))
+
+
+def test_chunks_of_known_words_are_not_asked_for_again(monkeypatch):
+    """Marks at the end and line feeds part words for the library, so only what is new between them reaches it."""
+    from tokenizers import Tokenizer
+
+    library, asked = Tokenizer.from_file(BPE), []
+    words = ["alpha", "été", "x2", "word's", "can't", "Ω", "²", "…", "ª", "a_b", "中文", "it'", "9", "-", "'s", "é", "­"]
+    ends = ["", ",", ".", "...", "'", "',", "'s", ".'s", "$$$", "…,", "_", "!?", '."', ")'re", "­."]
+    texts = ["\n".join(f"{w}{a}" for a in ends) + " " + " ".join(f"{w}{a}\n{v}{a}" for a in ends) for w, v in zip(words, words[::-1])]
+    texts += ["a.\nb", "a.\n\nb", "\na.", "a.\n", "a\r\nb c", "a\tb\nc d", "a \nb", ".\n.", "a, b e", "<|endoftext|>.\nb", " a.\nb", "b .\nc"]
+    encoder = bpe.ByteBpe(BPE)
+    flat, n = encoder.encode(texts)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == list(map(len, want)) and flat.tolist() == [i for w in want for i in w]
+    monkeypatch.setattr(encoder, "ask", lambda chunks, f=encoder.ask: (asked.extend(chunks), f(chunks)))
+    flat, n = encoder.encode(["x2 alpha; x2\nalpha; alpha;\nx2 alpha;\nalpha 9;"])
+    assert flat.tolist() == library.encode("x2 alpha; x2\nalpha; alpha;\nx2 alpha;\nalpha 9;", add_special_tokens=False).ids
+    assert set(asked) <= {" ;", " x2", " alpha", " \n"}
+
+
+def test_coder_learns_who_follows_whom():
+    """Ids of which each has four followers take some two bits; with order 0 and the last follower alone it was over four."""
+    rng = np.random.default_rng(3)
+    after, ids = rng.integers(0, 64, (64, 4)), [0]
+    for k in rng.integers(0, 4, 60_000).tolist():
+        ids.append(int(after[ids[-1], k]))
+    ids = np.array(ids, np.uint32) * 700
+    prior = coder.Prior.unpack(coder.Prior.of(ids).pack())
+    blocks = coder.encode_blocks(ids, prior)
+    assert (coder.decode_blocks(blocks, prior) == ids).all() and 8 * sum(map(len, blocks)) < 2.4 * len(ids)
